@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, ftrl, packing, quality_rules, toxicity, urls, warc
+from . import decontamination, extraction, ftrl, licenses, packing, quality_rules, toxicity, urls, warc
 
 #: The production allow and block entries of ``op3``.
 URL_RULES = [
@@ -61,6 +61,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ftrl.train_quality(docs, _table(spark, sf_dir, "labels"), train=_remainder("doc_id", 5) != 0)
