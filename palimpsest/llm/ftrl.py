@@ -165,9 +165,10 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float, int],
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **training) -> DataFrame:
-    """The rows of ``docs``, with the same columns, that score ``threshold`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels, text_col=text_col, **training))
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", source: DataFrame | None = None, **training) -> DataFrame:
+    """The rows of ``docs``, with the same columns, that score ``threshold`` or more. ``source`` has the
+    texts of the labelled rows, where that isn't ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train_quality(docs if source is None else source, labels, text_col=text_col, **training))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, ftrl, licenses, packing, quality_rules, toxicity, urls, warc
+from . import decontamination, extraction, ftrl, licenses, near_dedup, packing, quality_rules, toxicity, urls, warc
 
 #: The production allow and block entries of ``op3``.
 URL_RULES = [
@@ -20,7 +20,7 @@ URL_RULES = [
 ]
 
 #: The tokenizer file, and the same vocabulary as ranks.
-_TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def _remainder(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = toxicity.learn_toxicity(docs, _table(spark, sf_dir, "labels"), train=_remainder("doc_id", 4) != 2)
@@ -51,7 +55,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), *_TOKENIZER)
+    return packing.pack(_table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
