@@ -153,8 +153,10 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, short: bool) -> tu
         out = np.zeros(len(begin), dtype=np.uint64)
         padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
         full = np.repeat(counts >= size, n)
+        # factors without pattern: sums of them must not agree when words of a window change places
+        factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | U64(1)
         for j in range(size):
-            part = padded[begin + j] * U64((2 * j + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
+            part = padded[begin + j] * factors[j]
             if short and not full.all():
                 part = np.where(full | (j < np.repeat(counts, n)), part, U64(0))
             out += part
