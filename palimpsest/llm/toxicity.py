@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import labelled_sample
+from .runtime import stored
 from .words import LETTERED, Texts, pieces, span_hashes, words
 
 
@@ -52,27 +53,20 @@ def term_counts(texts: Texts, vocabulary: np.ndarray | None = None) -> tuple[np.
 class NearestExamples:
     """Labelled examples behind a block-max inverted index.
 
-    The vocabulary is what the labels tell apart: terms of ``min_df`` examples or more whose
-    document frequency in the two classes differs by a log-likelihood ratio of ``min_llr`` or more.
-    Vectors are (1 + log tf) * idf over it, of length 1. Postings of a term lie in order of examples;
+    ``vocabulary`` has sorted terms, of which ``df`` is the document frequency; ``rows``, ``columns`` and
+    ``counts`` tell how often example ``rows[i]`` has term ``columns[i]``. Vectors are (1 + log tf) * idf, of
+    length 1. Postings of a term lie in order of examples;
     examples are sorted by vector, so that a block of ``block`` holds alike ones, and each term keeps its
-    largest weight by block. Blocks are visited by falling bounds until the bound is below the k-th best
-    cosine: the answer is exact. A text without a vocabulary term is answered by the examples without one.
+    largest weight by block. The blocks with the highest bounds are scored first; of the others, those whose
+    bound reaches the k-th best cosine: the answer is exact. A text without a vocabulary term is answered by the examples without one.
     """
 
-    def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, k: int = 25, block: int = 64, min_df: int = 5, min_llr: float = 30.0, prior: float = 1.0):
+    def __init__(self, vocabulary: np.ndarray, df: np.ndarray, rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, k: int = 25, block: int = 64, prior: float = 1.0):
         self.k, self.prior_weight = k, prior
         n, positive = len(labels), int(labels.sum())
-        of, inverse = np.unique(terms, return_inverse=True)
-        df = np.bincount(inverse, minlength=len(of))
-        df1 = np.bincount(inverse, weights=labels[rows], minlength=len(of))
-        keep = (df >= min_df) & (_llr(df1, df - df1, positive, n - positive) >= min_llr)
-        self.vocabulary = of[keep]
-        self.idf = np.log((1 + n) / (1 + df[keep])) + 1
-        place = np.cumsum(keep) - 1
-        used = keep[inverse]
-        rows, columns = rows[used], place[inverse[used]]
-        weights = self._weigh(columns, counts[used])
+        self.vocabulary = vocabulary
+        self.idf = np.log((1 + n) / (1 + df)) + 1
+        weights = self._weigh(columns, counts)
         norm = np.sqrt(np.bincount(rows, weights=weights**2, minlength=n))
         weights = weights / norm[rows]
         empty = norm == 0
@@ -95,7 +89,10 @@ class NearestExamples:
         np.maximum.at(self.blockmax, (place[rows] // block, columns), weights.astype(np.float32) * np.float32(1 + 1e-6))
         order = np.lexsort((place[rows], columns))
         self.posting_example, self.posting_weight = place[rows][order], weights[order]
-        self.posting_first = np.searchsorted(columns[order], np.arange(len(self.vocabulary) + 1))
+        # where each term's postings of each block begin
+        key = columns[order] * (blocks + 1) + self.posting_example // block
+        self.block_first = np.searchsorted(key, np.arange(len(self.vocabulary))[:, None] * (blocks + 1) + np.arange(blocks + 1))
+        self.first_blocks = max(1, 2 * k // block + 2)
         self.steps = (np.zeros(0), np.zeros(0))
         self._calibrate(rows, columns, weights, place, n, labels)
 
@@ -106,28 +103,38 @@ class NearestExamples:
         """Examples and cosines of the ``k`` nearest with a cosine above 0 (``but`` is left out); of equal
         cosines, the earlier examples. ``weights`` have length 1."""
         bound = self.blockmax[:, columns] @ weights
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        lists = [(self.posting_example[a:b], self.posting_weight[a:b]) for a, b in zip(self.posting_first[columns], self.posting_first[columns + 1])]
-        found, cosines, worst, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
-        for at in range(0, len(order), step):
-            if len(found) >= self.k and bound[order[at]] * (1 + 1e-6) < worst:
-                break
-            part = order[at : at + step]
-            score = np.zeros(step * self.block)
-            for j, b in enumerate(part.tolist()):
-                low = b * self.block
-                for (example, weight), w in zip(lists, weights):
-                    s, e = np.searchsorted(example, (low, low + self.block))
-                    score[j * self.block + example[s:e] - low] += weight[s:e] * w
-            example = (part[:, None] * self.block + np.arange(self.block)).ravel()
-            score = score[: len(example)]
-            ok = (score > 0) & (example != but)
-            found, cosines = np.concatenate([found, example[ok]]), np.concatenate([cosines, score[ok]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[: self.k]
-            found, cosines = found[best], cosines[best]
-            worst = cosines[-1] if len(cosines) else 0.0
-        return found, cosines
+        some = min(self.first_blocks, len(bound))
+        best = np.argpartition(-bound, some - 1)[:some] if some else np.zeros(0, np.int64)
+        found, cosines = self._scored(best, columns, weights, but)
+        # what the best blocks hold sets the mark that the bound of any other has to reach
+        mark = np.partition(cosines, -self.k)[-self.k] if len(cosines) >= self.k else 0.0
+        open_ = bound * (1 + 1e-6) >= max(mark, 1e-12)
+        open_[best] = False
+        more, their = self._scored(np.flatnonzero(open_), columns, weights, but)
+        found, cosines = np.concatenate([found, more]), np.concatenate([cosines, their])
+        if len(found) > self.k:
+            reach = cosines >= np.partition(cosines, -self.k)[-self.k] - 1e-12
+            found, cosines = found[reach], cosines[reach]
+        order = np.lexsort((found, -np.round(cosines, 12)))[: self.k]
+        return found[order], cosines[order]
+
+    def _scored(self, blocks: np.ndarray, columns: np.ndarray, weights: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of ``blocks`` with a cosine above 0, from the postings of ``columns`` in them."""
+        if not len(blocks):
+            return np.zeros(0, np.int64), np.zeros(0)
+        low, high = self.block_first[np.ix_(columns, blocks)].ravel(), self.block_first[np.ix_(columns, blocks + 1)].ravel()
+        n = high - low
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
+        place = np.full(len(self.blockmax), -1)
+        place[blocks] = np.arange(len(blocks))
+        example = self.posting_example[at]
+        slot = place[example // self.block] * self.block + example % self.block
+        score = np.bincount(slot, weights=self.posting_weight[at] * np.repeat(np.repeat(weights, len(blocks)), n), minlength=len(blocks) * self.block)
+        hit = np.flatnonzero(score > 0)
+        example = blocks[hit // self.block] * self.block + hit % self.block
+        ok = example != but
+        return example[ok], score[hit][ok]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1, each example weighted by the inverse of its distance, with the overall rate
@@ -181,38 +188,60 @@ class NearestExamples:
         return memo[key]
 
 
-def _llr(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Log-likelihood ratio of a term's presence in ``a`` of ``n1`` and ``b`` of ``n0`` texts."""
+def choose_terms(sample: DataFrame, min_df: int, strength: float, columns: tuple[str, str] = ("text", "label")) -> DataFrame:
+    """``term, df`` of what the labels tell apart: terms of ``min_df`` texts or more, whose presence in the
+    two classes differs by a log-likelihood ratio of ``strength`` times the logarithm of the sample's size."""
 
-    def part(k, n, p):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log(1 - p), 0)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = np.array(batch.column(1).to_pylist(), dtype=np.int64) > 0
+            for texts in pieces(batch.column(0), 4 << 20):
+                row, term, _ = term_counts(texts)
+                of, place = np.unique(term, return_inverse=True)
+                n1 = np.bincount(place, weights=label[texts.low + row], minlength=len(of)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(np.bincount(place, minlength=len(of)).astype(np.int64)), pa.array(n1)], names=["term", "df", "df1"])
+
+    text, label = columns
+    n = sample.agg(F.count("*").alias("n"), F.sum((F.col(label) > 0).cast("long")).alias("n1")).first()
+    total, n1 = n["n"], n["n1"] or 0
+    of = sample.select(text, label).mapInArrow(count, "term long, df long, df1 long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("df1").alias("df1")).where(F.col("df") >= min_df)
+
+    def fit(k: F.Column, of_n: int, p: F.Column) -> F.Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < of_n, (of_n - k) * F.log(1 - p)).otherwise(0.0)
 
-    p = (a + b) / max(1, n1 + n0)
-    return 2 * np.nan_to_num(part(a, n1, a / max(1, n1)) + part(b, n0, b / max(1, n0)) - part(a, n1, p) - part(b, n0, p), nan=0.0, posinf=0.0, neginf=0.0)
+    a, b, p = F.col("df1"), F.col("df") - F.col("df1"), F.col("df") / F.lit(max(1, total))
+    ratio = 2 * (fit(a, n1, a / F.lit(max(1, n1))) + fit(b, total - n1, b / F.lit(max(1, total - n1))) - fit(a, n1, p) - fit(b, total - n1, p))
+    return of.where(ratio >= strength * float(np.log(max(2, total)))).select("term", "df")
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, min_df: int = 5, strength: float = 2.3, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
     """The index over a sample of at most ``rows`` labelled documents (those with the smallest hash of the
-    id); executors count terms, the driver gets the sample's counts alone."""
-    sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col)
+    id). Executors choose the vocabulary (see ``choose_terms``) and count its terms; the driver gets the
+    chosen terms, at most as many as ``rows``, and their counts in the sample."""
+    sample = stored(labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col), "sample")
+    chosen = choose_terms(sample, min_df, strength).orderBy(F.desc("df"), "term").limit(rows).toArrow()
+    terms, df = chosen["term"].to_numpy().view(np.uint64), chosen["df"].to_numpy()
+    order = np.argsort(terms)
+    vocabulary, df = terms[order], df[order]
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in pieces(batch.column(1)):
-                row, term, n = term_counts(texts)
+                row, column, n = term_counts(texts, shared.value)
                 first = np.searchsorted(row, np.arange(len(texts) + 1))
-                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(first, first[1:])], pa.binary())
+                cut = lambda x: pa.array([x[a:b].astype("<i4").tobytes() for a, b in zip(first, first[1:])], pa.binary())  # noqa: B023, E731
                 part = batch.slice(texts.low, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cut(term, "<u8"), cut(n, "<i4")], names=["id", "label", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cut(column), cut(n)], names=["id", "label", "columns", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(count, f"id {kind}, label int, terms binary, counts binary").toArrow().sort_by([("id", "ascending")])
-    terms = [np.frombuffer(x, "<u8") for x in got["terms"].to_pylist()]
+    got = sample.mapInArrow(count, f"id {kind}, label int, columns binary, counts binary").toArrow().sort_by([("id", "ascending")])
+    columns = [np.frombuffer(x, "<i4") for x in got["columns"].to_pylist()]
     counts = [np.frombuffer(x, "<i4") for x in got["counts"].to_pylist()]
-    rows_of = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    rows_of = np.repeat(np.arange(len(columns)), [len(t) for t in columns])
     labels_of = (np.array(got["label"].to_pylist(), dtype=np.int64) > 0).astype(np.int64)
-    return NearestExamples(rows_of, np.concatenate([np.zeros(0, np.uint64), *terms]), np.concatenate([np.zeros(0, np.int32), *counts]), labels_of, got["id"].to_pylist(), **settings)
+    none = np.zeros(0, np.int64)
+    return NearestExamples(vocabulary, df, rows_of, np.concatenate([none, *columns]), np.concatenate([none, *counts]), labels_of, got["id"].to_pylist(), **settings)
 
 
 def score_toxicity(docs: DataFrame, index: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
