@@ -46,7 +46,9 @@ def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], defa
     ends = {"__from": F.col(VALID_FROM), "__to": F.coalesce(after, timestamp_literal(default_valid_to, kind)), IS_CURRENT: F.lead(F.lit(1)).over(w).isNull()}
     if method == "fill":
         return _filled(relations, keys, added, w, ends)
-    spine = points.distinct().withColumns(ends).drop(VALID_FROM)
+    # dealt out by more than the keys: with adaptive plans, what a union of histories that are dealt out alike
+    # says of its partitions may not hold
+    spine = points.repartition(*(F.col(k) for k in keys), F.col(VALID_FROM)).distinct().withColumns(ends).drop(VALID_FROM)
     out = spine.alias("spine")
     for i, (r, columns) in enumerate(zip(relations, added)):
         a = f"r{i}"
@@ -65,7 +67,7 @@ def _filled(relations, keys, added, w, ends) -> DataFrame:
         own = r.select(*keys, VALID_FROM, *(version.alias(f"__v{j}") if i == j else F.lit(None).alias(f"__v{j}") for j in range(len(relations))))
         rows = own if rows is None else rows.unionByName(own)
     # versions of several relations that begin at one point become one row of it
-    points = rows.groupBy(*keys, VALID_FROM).agg(*(F.max_by(f"__v{j}", F.when(F.col(f"__v{j}").isNotNull(), 1)).alias(f"__v{j}") for j in range(len(relations))))
+    points = rows.repartition(*(F.col(k) for k in keys), F.col(VALID_FROM)).groupBy(*keys, VALID_FROM).agg(*(F.max_by(f"__v{j}", F.when(F.col(f"__v{j}").isNotNull(), 1)).alias(f"__v{j}") for j in range(len(relations))))
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
