@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -175,21 +176,33 @@ def _scope(stack: list, tags: tuple[str, ...] = ("table", "td", "th", "caption",
     return max((i + 1 for i, s in enumerate(stack) if s[0] in tags), default=0)
 
 
+#: Elements within a container rather than containers.
+_INNER = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre table tbody thead tfoot tr td th dl dt dd figure figcaption address summary hr".split())
+#: What text counts in a container one level further out.
+_OUTWARD = 0.8
+
+
 def score_paths(blocks: list[Block]) -> dict[str, float]:
-    """A score for each container path of a page: characters of text that isn't link text in its blocks,
-    less what lies too deep. ``article`` and ``main`` count half as much again, so that a container wins
-    over the whole page that it nearly fills; so does a deeper path that holds as much."""
+    """A score for each container path of a page: characters of its blocks that aren't link text, in full
+    for the innermost container and ``_OUTWARD`` of that for each level further out, so that a container
+    wins over those around it if these add little. ``article`` and ``main`` count twice."""
     scores: dict[str, float] = {}
     for block in blocks:
-        worth = max(0, len(block.text) - 2 * block.linked)
-        path = [s for s in block.path if s.partition(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "dl", "dt", "dd", "figure", "figcaption")]
-        for k in range(1, len(path) + 1):
+        worth = float(max(0, len(block.text) - 2 * block.linked))
+        path = [s for s in block.path if s.partition(".")[0] not in _INNER]
+        for k in range(len(path), 0, -1):
             key = ">".join(path[:k])
-            last = path[k - 1].partition(".")[0]
-            scores[key] = scores.get(key, 0.0) + worth * (1.5 if last in ("article", "main") else 1.0) * (1 + 0.01 * k)
+            scores[key] = scores.get(key, 0.0) + worth * (2.0 if path[k - 1].partition(".")[0] in ("article", "main") else 1.0)
+            worth *= _OUTWARD
     return scores
 
 
+def best_path(blocks: list[Block]) -> str | None:
+    """The path with the highest score, of equal ones the longest; none without text."""
+    scores = score_paths(blocks)
+    return max(scores, key=lambda p: (scores[p], len(p), p)) if scores else None
+
+
 def text_under(blocks: list[Block], path: str | None) -> str:
     """Blocks under ``path``, joined; all of the page's where it has none there (or no path is given)."""
     steps = path.split(">") if path else []
@@ -202,11 +215,10 @@ def _under(path: tuple[str, ...], steps: list[str]) -> bool:
     return all(s in at for s in steps)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", agree: float = 0.8) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text, n_chars`` of each row of ``pages``: the article's blocks, joined by an empty line.
 
-    First pass: each page votes for its best container's generalised tag-class path and for those that
-    score ``agree`` of it or more. Votes are summed by host and path in Spark (partial sums first, so that a
+    First pass: each page votes for its best container's generalised tag-class path. Votes are summed by host and path in Spark (partial sums first, so that a
     host with a third of all pages is no load), and each host's path with most votes wins. Second pass:
     each page is read again and gives the blocks under its host's path, or, where it has nothing there,
     under its own best.
@@ -219,19 +231,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = score_paths(blocks_of(page or ""))
-                if scores:
-                    host, best = split_url(url)[0], max(scores.values())
-                    for path, s in scores.items():
-                        if s >= agree * best and s > 0:
-                            sums[host, path] = sums.get((host, path), 0.0) + s / best
-            columns = list(zip(*((h, p, v) for (h, p), v in sums.items()))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["host", "path", "votes"])
-
-    votes = rows.select("url", "html").mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.sum(F.round("votes", 6)).alias("votes"))
-    best = Window.partitionBy("host").orderBy(F.round("votes", 3).desc(), F.length("path").desc(), "path")
+            votes = Counter((split_url(url)[0], best_path(blocks_of(page or ""))) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            found = [(h, p, n) for (h, p), n in votes.items() if p is not None]
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["host", "path", "votes"])
+
+    votes = rows.select("url", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    best = Window.partitionBy("host").orderBy(F.desc("votes"), F.length("path").desc(), "path")
     winners = stored(votes.withColumn("k", F.row_number().over(best)).where("k = 1").select("host", "path"), "paths")
     # host by host the winner is one row: pages are dealt by (host, salt), so that no host is one task's
     salts = 32
@@ -245,8 +251,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 blocks = blocks_of(page or "")
                 steps = path.split(">") if path else []
                 if not steps or not any(_under(b.path, steps) for b in blocks):
-                    scores = score_paths(blocks)
-                    path = max(scores, key=scores.get) if scores else None
+                    path = best_path(blocks)
                 texts.append(text_under(blocks, path))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
