@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .config import ScdConfig
 from .plans.planner import ScdPlan, plan
+from .sources.filters import source
 from .sources.store import VersionedTable
 
 
@@ -23,9 +26,21 @@ class ScdTable:
         self.spark, self.config, self.post_hooks, self.contract, self.comments = spark, config, list(post_hooks), contract, comments or {}
         self.store = VersionedTable(spark, path)
 
+    @classmethod
+    def incremental_scd2(cls, spark: SparkSession, path: str, config: Mapping[str, Any], variables: Mapping[str, Any] | None = None, **more) -> "ScdTable":
+        """A type-2 table from plain settings, whatever type these name."""
+        return cls(spark, path, ScdConfig.resolve(config, variables, scd_type=2), **more)
+
     def exists(self) -> bool:
         return self.store.exists()
 
+    def source(self, df: DataFrame, loaded_at: str | None = None, target_loaded_at: str = "_loaded_at", run_started_at: datetime | None = None, full_refresh: bool = False) -> DataFrame:
+        """What the next run has to read of ``df``: in a merge, rows loaded after what the table holds; with
+        ``exclude_data_after_run_start``, none loaded after ``run_started_at`` (by default now)."""
+        until = (run_started_at or datetime.now()) if self.config.exclude_data_after_run_start else None
+        target = self.store.read() if loaded_at is not None and self.is_incremental(full_refresh) else None
+        return source(df, loaded_at, target, target_loaded_at, until, self.config.default_valid_from)
+
     def is_incremental(self, full_refresh: bool = False) -> bool:
         """Whether the next run merges into what is there."""
         return self.exists() and not full_refresh

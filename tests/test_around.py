@@ -103,6 +103,19 @@ def test_table_runs_hooks_and_keeps_its_contract(spark, tmp_path):
         wrong.apply(spark.createDataFrame([(1, "a", d(1))], schema))
 
 
+def test_table_reads_what_is_new(spark, tmp_path):
+    schema = "k int, v string, _updated_at timestamp, _loaded_at timestamp"
+    rows = spark.createDataFrame([(1, "a", d(1), d(1)), (2, "b", d(1), d(3)), (3, "c", d(1), d(9)), (4, "d", d(1), None)], schema)
+    plain = {"unique_key": ["k"], "scd_type": 0, "change_columns": {"exclude": ["_loaded_at"]}}
+    table = ScdTable.incremental_scd2(spark, str(tmp_path / "t"), plain, {"exclude_data_after_run_start": True})
+    assert table.config.scd_type == 2
+    table.apply(table.source(rows, "_loaded_at", run_started_at=d(2)))
+    assert [r.k for r in table.read().collect()] == [1]
+    assert [r.k for r in table.source(rows, "_loaded_at", run_started_at=d(5)).collect()] == [2]
+    assert table.source(rows, "_loaded_at", run_started_at=d(5), full_refresh=True).count() == 2
+    assert table.source(rows).count() == 4
+
+
 def test_stream(spark, tmp_path):
     schema = "k int, v string, _updated_at timestamp"
     rows = [[(1, "a", d(1)), (2, "x", d(1))], [(1, "b", d(2))]]
