@@ -30,9 +30,10 @@ DROPPED = frozenset("head nav header footer aside form script style noscript ifr
 _ASIDE = re.compile(
     r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|sidebar|side|aside|header|masthead|footer|foot|comment|comments|commentlist|disqus|"
     r"respond|replies|cookie\w*|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|"
-    r"breadcrumb\w*|pagination|pager|widget|toolbar|skip|login|search|copyright|legal|disclaimer|toc|contentinfo|complementary)(?:$|[-_\s\d])",
+    r"breadcrumb\w*|pagination|pager|widget|toolbar|skip|login|search|copyright|disclaimer|toc|contentinfo|complementary)(?:$|[-_\s\d])",
     re.IGNORECASE,
 )
+_BESIDE = re.compile(r"(?:has|with|no|without|is|page|category|tag)[-_]", re.IGNORECASE)
 _CLOSES_P = BLOCKS | {"hr"}
 _SPACE = re.compile(r"[\s]+")
 _DIGITS = re.compile(r"\d+")
@@ -55,7 +56,8 @@ def step_of(tag: str, attributes: str) -> tuple[str, bool]:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     mark = found.get("class", "").split()
     step = ".".join([tag, *sorted(_DIGITS.sub("#", m.lower()) for m in mark)])
-    named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+    # "has-sidebar" and the like tell what is beside an element, not what it is
+    named = " ".join(m for k in ("class", "id", "role") for m in found.get(k, "").split() if not _BESIDE.match(m))
     style = found.get("style", "").replace(" ", "").lower()
     drop = tag in DROPPED or "display:none" in style or found.get("aria-hidden") == "true"
     return step, drop or (tag not in ("html", "body", "main", "article") and _ASIDE.search(named) is not None)

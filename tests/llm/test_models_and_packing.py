@@ -241,7 +241,7 @@ def test_extraction_leaves_out_what_surrounds_the_article():
     body = "Some words of the article that are long enough to count as text. " * 3
     page = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="page has-sidebar">
     <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->
-    <div id="main"><article class="post-12"><h1>Title &amp; more</h1><p><b>First {body}<br><p>Second&nbsp;{body}</p><div class="ad">Buy</div><form><p>Mail</p><input></form>
+    <div id="main" class="with-sidebar"><article class="post-12"><h1>Title &amp; more</h1><p><b>First {body}<br><p>Second&nbsp;{body}</p><div class="ad">Buy</div><form><p>Mail</p><input></form>
     <ul><li>One<li>Two</ul><blockquote>Said &lt;so&gt;</blockquote><table><tr><td>Cell</td><td>Next</td></tr></table></article>
     <section class="comments"><p>{body}{body}{body}</p></section></div><aside><p>{body}</p></aside><footer>&copy; 2024</footer></body></html>"""
     flat = body.strip()
