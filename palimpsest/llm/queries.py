@@ -91,6 +91,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+    FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, links.y FROM r JOIN links ON r.b = links.x),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
 _OP3 = f"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
 p AS (SELECT page_id, translate(x.host, '{_UPPER}', '{_LOWER}') AS host, x.path AS path FROM u),
@@ -135,4 +149,4 @@ FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": _OP3, "op4_decontamination": _OP4, "op9_warc": _OP9}
+    return {"op1_near_dedup": _OP1, "op3_url_filters": _OP3, "op4_decontamination": _OP4, "op9_warc": _OP9}
