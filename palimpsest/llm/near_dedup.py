@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .runtime import stored
+from .runtime import marked, stored
 from .words import SPACED, Texts, pieces, span_hashes, windows, words
 
 SHINGLE = 5
@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
                 part = batch.slice(texts.low, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["rep", "dense", "n", "shingles"])
 
-    sets = rows.withColumnRenamed("id", "rep").join(wanted, "rep").select("rep", "dense", "text").mapInArrow(full, "rep long, dense boolean, n long, shingles binary")
+    wanted = stored(wanted, "wanted")
+    some = marked(rows.withColumnRenamed("id", "rep"), "rep", wanted.select("rep"), "likely").where("likely").drop("likely")
+    sets = some.join(wanted, "rep").select("rep", "dense", "text").mapInArrow(full, "rep long, dense boolean, n long, shingles binary")
     sets = stored(sets.where("n > 0"), "sets")
 
     rare = _rarest(sets.where("dense"), threshold)

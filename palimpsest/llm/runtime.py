@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Longs of the bit table in ``marked``: a proven bound for its broadcast, about 30 MB, whatever the input.
+TABLE_LONGS = 1 << 20
+
+
+def marked(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: false only where ``id_col`` is surely not among ``ids`` (one
+    column).
+
+    A bit table over hashes of the ids, of ``TABLE_LONGS`` longs at most, is broadcast. Where few rows of
+    wide ones are wanted, only these (and some more, the table being full) have to be shuffled afterwards.
+    """
+    of = ids.columns[0]
+
+    def places(column: str) -> tuple[Column, Column]:
+        h = F.xxhash64(F.col(column))
+        return F.pmod(h, F.lit(TABLE_LONGS)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
+
+    at, bit = places(of)
+    table = ids.select(at.alias("__at"), bit.alias("__bit")).groupBy("__at").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    at, bit = places(id_col)
+    found = df.withColumns({"__at": at, "__bit": bit}).join(F.broadcast(table), "__at", "left")
+    likely = F.coalesce(F.expr("(__bits & shiftleft(1L, __bit)) <> 0"), F.lit(False))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), likely.alias(name))
