@@ -242,7 +242,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     rare = _rarest(sets.where("dense"), threshold)
     starred = stored(rare.distinct(), "starred")
     links = similar_links(sets, pairs.unionByName(starred.where("key is null").select("a", "b")).distinct(), threshold)
-    links = stored(links, "links")
+    # an id with several texts ties their classes together
+    several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high").select("id")
+    tied = known.join(several, "id").join(classes, ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = stored(links.unionByName(tied), "links")
     reached = components(links)
     more = similar_links(sets, _left_over(starred.where("key is not null"), reached, threshold), threshold)
     reached = stored(components(links.unionByName(stored(more, "links"))), "components")
