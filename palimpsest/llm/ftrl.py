@@ -121,9 +121,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None, rows: int = 12_000, bits: int = 18, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, int]:
-    """The model from a sample of at most ``rows`` labelled documents. Executors make features; the
-    driver gets those of the sample alone and runs the updates. Without rows it predicts 0.5."""
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None, rows: int = 8_000, bits: int = 18, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, int]:
+    """The model from a sample of at most ``rows`` labelled documents. Executors make features, one task
+    runs the updates over those of the sample in order of ids, and the driver gets the weights. Without
+    rows it predicts 0.5."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +139,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
                 part = batch.slice(texts.low, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["id", "label", "i", "n"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, examples = Ftrl(bits=bits), []
+        for batch in batches:
+            for i, n, y in zip(*(batch.column(c).to_pylist() for c in ("i", "n", "label"))):
+                counts = np.frombuffer(n, "<i4")
+                examples.append((np.frombuffer(i, "<i4"), (counts / counts.sum() * model.scale).astype(np.float32), int(y > 0)))
+        weights, bias, *_ = model.fit(examples, epochs).model()
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(featurise, f"id {kind}, label int, i binary, n binary").toArrow().sort_by([("id", "ascending")])
-    model = Ftrl(bits=bits)
-    examples = []
-    for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["label"].to_pylist()):
-        counts = np.frombuffer(n, "<i4")
-        examples.append((np.frombuffer(i, "<i4"), counts / counts.sum() * model.scale, int(y > 0)))
-    return model.fit(examples, epochs).model()
+    made = sample.mapInArrow(featurise, f"id {kind}, label int, i binary, n binary").repartition(1).sortWithinPartitions("id", "i")
+    got = made.mapInArrow(fit, "weights binary, bias double").collect()
+    if not got:
+        return Ftrl(bits=bits).model()
+    return np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias, Ftrl(bits=bits).scale, bits
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
