@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Longs of the bit table in ``marked``: a proven bound for its broadcast, about 30 MB, whatever the input.
 TABLE_LONGS = 1 << 20
 
@@ -55,9 +63,10 @@ def marked(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> DataFrame:
         h = F.xxhash64(F.col(column))
         return F.pmod(h, F.lit(TABLE_LONGS)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
+    at_, bit_, bits_ = (free_name(df, n) for n in ("at", "bit", "bits"))
     at, bit = places(of)
-    table = ids.select(at.alias("__at"), bit.alias("__bit")).groupBy("__at").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    table = ids.select(at.alias(at_), bit.alias(bit_)).groupBy(at_).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit_})")).alias(bits_))
     at, bit = places(id_col)
-    found = df.withColumns({"__at": at, "__bit": bit}).join(F.broadcast(table), "__at", "left")
-    likely = F.coalesce(F.expr("(__bits & shiftleft(1L, __bit)) <> 0"), F.lit(False))
+    found = df.withColumns({at_: at, bit_: bit}).join(F.broadcast(table), at_, "left")
+    likely = F.coalesce(F.expr(f"({bits_} & shiftleft(1L, {bit_})) <> 0"), F.lit(False))
     return found.select(*(F.col(f"`{c}`") for c in df.columns), likely.alias(name))
