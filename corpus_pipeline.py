@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm import decontamination, ftrl, near_dedup, packing, quality_rules
 from palimpsest.llm.queries import TOKENIZER
-from palimpsest.llm.runtime import stored
+from palimpsest.llm.runtime import free_name, marked, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,15 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id. Of repeated rows (equal id and text) one
     stays; rows without an id all do."""
-    ids = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # rows that neither concerns pass by as they are, so that their texts are not shuffled
+    concerned, place = free_name(docs, "concerned"), free_name(docs, "place")
+    known = marked(docs, "doc_id", gone.unionByName(again).distinct(), concerned)
+    rest = known.where(f"{concerned} and doc_id is not null").select(docs.columns).join(gone, "doc_id", "left_anti").select(docs.columns)
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    named = named.withColumn("row of its kind", F.row_number().over(same)).where("`row of its kind` = 1").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    rest = rest.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(docs.columns)
+    return known.where(f"not {concerned} or doc_id is null").select(docs.columns).unionByName(rest)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
