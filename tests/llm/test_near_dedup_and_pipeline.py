@@ -139,3 +139,24 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None", "None"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_documents(spark, stage):
+    sf = "/root/testdata/sf0.001"
+    good = " ".join(f"word{i} and then the other{i * 7}" for i in range(40)) + "."
+    texts = [good, good, None, "", " \n ", "short", "x " * 60_000, "ü" * 3000, "cc by " * 50]
+    rows = [(i if i != 4 else None, t, None if i % 2 else "en", None, None, "x", 1, None, 2.0, "c", True) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, key string, score double, concerned string, kept boolean"
+    docs = spark.createDataFrame([*rows, rows[0]], schema)
+    out = stage(spark, docs, sf)
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    assert last or out.columns == docs.columns
+    got = out.collect()
+    if stage in (corpus_pipeline.quality_rules_stage, corpus_pipeline.quality_classifier_stage, corpus_pipeline.decontamination_stage):
+        assert sum(r.text == good for r in got) == 3  # clean documents stay
+    if stage is corpus_pipeline.near_dedup_stage:
+        assert sum(r.text == good for r in got) == 1 and len(got) == len(texts) - 1
+    if last:
+        assert {r.doc_id for r in got} == {r[0] for r in rows}
+    assert stage(spark, docs.limit(0), sf).count() == 0
