@@ -25,8 +25,9 @@ def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], defa
 
     ``method``: ``range`` joins each relation by key and range, which also covers overlapping versions and
     relations with several rows for a key and time. ``fill`` takes for each stretch the latest version that
-    begins no later: one exchange for all relations and no pairs, for histories without overlaps whose key
-    is ``join_keys``.
+    begins no later: no pairs, so that a key with very many versions costs no more than sorting them, for
+    histories without overlaps whose key is ``join_keys``. ``auto`` looks (with a pass over each relation)
+    whether they are such, and takes ``fill`` if so.
     """
     keys = list(join_keys)
     upper = {k.upper() for k in keys}
@@ -34,8 +35,10 @@ def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], defa
     names = [c.upper() for cs in added for c in cs]
     if clash := sorted({n for n in names if names.count(n) > 1}):
         raise ConfigError(f"several relations have columns named {', '.join(clash)}: rename them before the join")
-    if method not in ("range", "fill"):
-        raise ConfigError(f"method must be range or fill, got: {method}")
+    if method not in ("range", "fill", "auto"):
+        raise ConfigError(f"method must be range, fill or auto, got: {method}")
+    if method == "auto":
+        method = "fill" if all(one_version_at_a_time(r, keys) for r in relations) else "range"
     points = None
     for r in relations:
         own = r.select(*keys, VALID_FROM)
@@ -60,6 +63,13 @@ def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], defa
     return out.where("__from < __to").select(*(F.col(f"spine.{k}") for k in keys), *picked, IS_CURRENT, F.col("__from").alias(VALID_FROM), F.col("__to").alias(VALID_TO))
 
 
+def one_version_at_a_time(relation: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no version of a key begins before an earlier one has ended, or together with another."""
+    earlier = Window.partitionBy(*keys).orderBy(F.col(VALID_FROM).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = relation.select(VALID_FROM, F.max(VALID_TO).over(earlier).alias("__end"), F.max(VALID_FROM).over(earlier).alias("__begin"))
+    return seen.where((F.col(VALID_FROM) < F.col("__end")) | (F.col(VALID_FROM) == F.col("__begin"))).isEmpty()
+
+
 def _filled(relations, keys, added, w, ends) -> DataFrame:
     rows = None
     for i, (r, columns) in enumerate(zip(relations, added)):

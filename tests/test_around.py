@@ -30,7 +30,7 @@ def sides(spark):
     return [customers, addresses, ratings]
 
 
-@pytest.mark.parametrize("method", ["range", "fill"])
+@pytest.mark.parametrize("method", ["range", "fill", "auto"])
 def test_three_way_join(sides, method):
     out = temporal_join(sides, ["customer_id"], method=method)
     assert out.columns == ["customer_id", "email", "city", "rating", "score", "_is_current", "_valid_from", "_valid_to"]
@@ -53,6 +53,12 @@ def test_composite_join_with_a_missing_side(spark, method):
     assert got == [(None, None, None, 1), (1, "pending", 2, 2), (1, "processing", 2, 3), (1, "processing", 3, 4), (1, "shipped", 3, 5), (3, "alone", None, 1)]
 
 
+def test_auto_sees_fan_out(spark, sides):
+    several = history(spark, [(1, 1, "a", d(1)), (1, 2, "b", d(1)), (1, 2, "c", d(4))], "customer_id int, line int, item string", ["customer_id", "line"])
+    got = {m: sorted(map(str, temporal_join([sides[0], several], ["customer_id"], method=m).collect())) for m in ("range", "auto")}
+    assert got["range"] == got["auto"] and any("line=1" in r for r in got["auto"]) and any("line=2" in r for r in got["auto"])
+
+
 def test_join_refuses_shared_names(sides):
     with pytest.raises(ConfigError, match="EMAIL"):
         temporal_join([sides[0], sides[0]], ["customer_id"])
