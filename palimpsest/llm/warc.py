@@ -23,6 +23,7 @@ DICTIONARY_MAGIC = 0xEC30A437
 FRAME_MAGIC = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
+_PIECE = 16 << 10
 
 
 def digest_of(payload: bytes) -> str:
@@ -68,9 +69,15 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         at = 8 + size
     while at < len(content):
-        step = reader.decompressobj()
-        data = step.decompress(view[at:])
-        at = len(content) - len(step.unused_data)
+        step, parts = reader.decompressobj(), []
+        while not step.eof:  # in pieces: what a frame leaves unused is copied
+            piece = view[at : at + _PIECE]
+            if not len(piece):
+                raise ValueError("the archive ends within a record")
+            parts.append(step.decompress(piece))
+            at += len(piece)
+        at -= len(step.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
