@@ -7,6 +7,7 @@ in it is a count of spaces. Rules are regular expressions over that form, ordere
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,14 @@ _BETWEEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 #: A text without any of these has no phrase and fits no rule.
-GATE = ["licen", "copyright", "cc by", "cc0", "rights reserved", "general public", "public domain", "spdx", "creativecommons", "creative commons", "opensource org", "copyleft"]
+GATE = ["licen", "copyright", "cc by", "cc0", "rights reserved", "general public", "public domain", "spdx", "creativecommons", "creative commons", "opensource org", "copyleft", "permission", "redistribution", "without warranty", "terms of", "eclipse org", "mozilla org", "sil org", "eupl", "wtfpl", "bsl11"]
 
-#: label, keyword that the text must hold, the name as it is written, the SPDX identifier, the address.
+#: label, keyword that the text must hold (one of several), the name as it is written, the SPDX identifier, the address.
 #: ``V`` stands for an optional word "version" or "v".
 LICENSES = [
     ("apache-1.1", "apache", r"apache (?:software )?(?:licen[sc]e )?V1 1", "apache 1 1", r"apache org licenses license 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?(?:licen[sc]e )?V2(?: 0)?", "apache 2 0", r"apache org licenses license 2 0"),
-    ("mit", "mit", r"(?:mit|expat)(?: x11)?", "mit", r"opensource org licenses mit"),
+    ("mit", "mit|expat", r"(?:mit|expat)(?: x11)?", "mit", r"opensource org licenses mit"),
     ("mit-0", "mit", r"mit no attribution", "mit 0", r"opensource org licenses mit 0"),
     ("isc", "isc", r"isc", "isc", r"opensource org licenses isc"),
     ("bsd-2-clause", "bsd", r"(?:2 clause|two clause|simplified|freebsd) bsd|bsd (?:2|two) clause", "bsd 2 clause", r"opensource org licenses bsd 2 clause"),
@@ -39,7 +40,7 @@ LICENSES = [
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?V?2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?", r"gnu org licenses gpl2"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?V?3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?", r"gnu org licenses gpl3"),
     ("gpl", "general public", r"(?:gnu )?general public", "gpl", r"gnu org copyleft gpl"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e V2 1", "lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e V2 1", "lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e V3(?: 0)?", "lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl", "lgpl 2 0", r"gnu org copyleft lesser"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public(?: licen[sc]e)?(?: V3(?: 0)?)?", "agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
@@ -50,14 +51,14 @@ LICENSES = [
     ("epl-1.0", "eclipse", r"eclipse public licen[sc]e V1(?: 0)?", "epl 1 0", r"eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", r"eclipse public(?: licen[sc]e V2(?: 0)?)?", "epl 2 0", r"eclipse org legal epl 2 0"),
     ("eupl-1.2", "european union", r"european union public(?: licen[sc]e V1 2)?", "eupl 1 2", r"joinup ec europa eu (?:collection|software page) eupl"),
-    ("cddl-1.0", "cddl", r"cddl(?: V1 [01])?|common development and distribution", "cddl 1 [01]", r"opensource org licenses cddl 1 0"),
+    ("cddl-1.0", "cddl|common development", r"cddl(?: V1 [01])?|common development and distribution", "cddl 1 [01]", r"opensource org licenses cddl 1 0"),
     ("artistic-2.0", "artistic", r"artistic(?: licen[sc]e V?2(?: 0)?)?", "artistic 2 0", r"opensource org licenses artistic license 2 0"),
     ("boost-1.0", "boost", r"boost software(?: licen[sc]e V1(?: 0)?)?", "bsl 1 0", r"boost org license 1 0"),
     ("zlib", "zlib", r"zlib(?: libpng)?", "zlib", r"opensource org licenses zlib"),
     ("unlicense", "unlicense", r"unlicense", "unlicense", r"unlicense org"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public", "wtfpl", r"wtfpl net"),
+    ("wtfpl", "wtfpl|want to public", r"wtfpl|do what the fuck you want to public", "wtfpl", r"wtfpl net"),
     ("postgresql", "postgresql", r"postgresql", "postgresql", r"opensource org licenses postgresql"),
-    ("python-2.0", "python", r"python software foundation|psf", "python 2 0", r"docs python org license"),
+    ("python-2.0", "python|psf", r"python software foundation|psf", "python 2 0", r"docs python org license"),
     ("openssl", "openssl", r"openssl", "openssl", r"openssl org source license"),
     ("ofl-1.1", "font", r"(?:sil )?open font(?: licen[sc]e V1 1)?", "ofl 1 1", r"scripts sil org ofl"),
     ("odbl-1.0", "open database", r"open database(?: licen[sc]e V1(?: 0)?)?", "odbl 1 0", r"opendatacommons org licenses odbl"),
@@ -107,6 +108,14 @@ NOTICES = [
 ]
 
 
+def surely(pattern: str) -> str:
+    """``pattern`` without the groups that may be missing from a match."""
+    before = None
+    while pattern != before:
+        before, pattern = pattern, re.sub(r"\((?:\?:)?[^()]*\)\?", "", pattern)
+    return pattern
+
+
 def rules() -> dict[str, list[dict]]:
     """All rules by keyword: label, kind (0 the strongest), rank (of equal kinds the first stays: exact
     versions stand before families), confidence and pattern."""
@@ -114,10 +123,12 @@ def rules() -> dict[str, list[dict]]:
     found: dict[str, list[dict]] = {}
     for rank, (label, keyword, name, spdx, address) in enumerate(LICENSES):
         for k, (kind, confidence, around) in enumerate(KINDS):
-            if kind == "name" and "licen" in name:  # the word is in the name
+            if kind == "name" and "licen" in surely(name):  # the word is in the name
                 around = "(?:the )?(?:NAME)(?: licen[sc]e)?"
             pattern = around.replace("NAME", name).replace("SPDX", spdx).replace("ADDRESS", address).replace("V", r"(?:v|v |version )?")
-            found.setdefault(keyword if kind != "address" else address.split(" ")[0], []).append({"label": label, "kind": k, "rank": rank, "confidence": confidence, "pattern": f"(?<= )(?:{pattern})(?= )"})
+            rule = {"label": label, "kind": k, "rank": rank, "confidence": confidence, "pattern": f"(?<= )(?:{pattern})(?= )"}
+            for word in {"identifier": ["spdx"], "address": [address.split(" ")[0]]}.get(kind, keyword.split("|")):
+                found.setdefault(word, []).append(rule)
     for label, keyword, kind, pattern in NOTICES:
         k = names.index(kind)
         found.setdefault(keyword, []).append({"label": label, "kind": k, "rank": len(LICENSES), "confidence": KINDS[k][1], "pattern": f"(?<= )(?:{pattern})(?= )"})

@@ -217,6 +217,7 @@ def test_rules_and_suppression(spark):
         "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
         "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
         "See the Mozilla Public License 2.0": "mpl-2.0", "Copyright (c) 2020 Someone. All rights reserved.": "copyright,reserved", "mit und von der license": "", "": "",
+        "an elastic artistic license for boost software and apache 2": "artistic-2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy": "permissive-text",
     }
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     out = licenses.scan_licenses(docs).orderBy("doc_id").collect()
@@ -227,6 +228,11 @@ def test_rules_and_suppression(spark):
 def test_every_rule_passes_the_gate_and_nothing_leaves_the_jvm(spark):
     table = licenses.rules()
     assert sum(map(len, table.values())) >= 200
+    for keyword, of in table.items():
+        for rule in of:
+            surely = licenses.surely(rule["pattern"]).replace("[sc]", "c")
+            assert any(g in surely for g in licenses.GATE), rule
+            assert keyword in rule["pattern"], rule
     plan = licenses.scan_licenses(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
