@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine)
     a local temporary folder takes its place, and is set for the rest of the session.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
@@ -46,8 +46,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Longs of the bit table in ``marked``: a proven bound for its broadcast, about 30 MB, whatever the input.
-TABLE_LONGS = 1 << 20
+#: Longs of the bit table in ``marked``: a proven bound for its broadcast, some tens of MB with the hash table's
+#: overhead, whatever the input.
+TABLE_LONGS = 1 << 19
 
 
 def marked(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> DataFrame:
