@@ -68,6 +68,7 @@ def blocks_of(page: str) -> list[Block]:
     main: end tags close up to their element, a block ends an open ``p``, what is left open ends with the page."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # tag, step, dropped from here
+    open_now: Counter[str] = Counter()
     text: list[str] = []
     dropped = links = linked = 0
     at, n = 0, len(page)
@@ -84,6 +85,7 @@ def blocks_of(page: str) -> list[Block]:
     def pop() -> str:
         nonlocal dropped, links
         tag, _, drop = stack.pop()
+        open_now[tag] -= 1
         dropped -= drop
         links -= tag == "a"
         return tag
@@ -115,18 +117,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[4].lower()
         if m[3]:
-            if tag in ("br", "p") and not any(t == tag for t, *_ in stack):
-                flush() if tag == "p" else text.append("\n")
-                continue
-            if not any(t == tag for t, *_ in stack):
+            if not open_now[tag]:
+                if tag == "p":
+                    flush()
+                elif tag == "br":
+                    text.append("\n")
                 continue
             if tag in BLOCKS:
                 flush()
             elif any(t in BLOCKS for t, *_ in stack[_last(stack, tag) :]):
                 # an inline end tag does not close the blocks inside its element
-                stack[:] = stack[: _last(stack, tag)] + stack[_last(stack, tag) + 1 :]
-                links = sum(t == "a" for t, *_ in stack)
-                dropped = sum(d for *_, d in stack)
+                _, _, drop = stack.pop(_last(stack, tag))
+                open_now[tag] -= 1
+                links -= tag == "a"
+                dropped -= drop
                 continue
             while pop() != tag:
                 pass
@@ -135,20 +139,21 @@ def blocks_of(page: str) -> list[Block]:
             if not dropped:
                 text.append("\n")
             continue
-        if tag in _CLOSES_P and any(t == "p" for t, *_ in stack[_scope(stack) :]):
+        if tag in _CLOSES_P and open_now["p"] and any(t == "p" for t, *_ in stack[_scope(stack) :]):
             flush()
             place = _last(stack, "p")
-            kept = [s for s in stack[place + 1 :] if s[0] not in BLOCKS]  # formatting goes on
+            kept = [s for s in stack[place + 1 :] if s[0] not in BLOCKS and (s[2] or s[0] == "a")]  # links and hidden text go on
             while len(stack) > place:
                 pop()
             for s in kept:
                 stack.append(s)
+                open_now[s[0]] += 1
                 dropped += s[2]
                 links += s[0] == "a"
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
             outer = _scope(stack, ("ul", "ol", "dl", "table", "select", "menu") + (("tr",) if tag in ("td", "th") else ()))
-            if any(t in same for t, *_ in stack[outer:]):
+            if any(open_now[t] for t in same) and any(t in same for t, *_ in stack[outer:]):
                 flush()
                 while pop() not in same:
                     pass
@@ -164,6 +169,7 @@ def blocks_of(page: str) -> list[Block]:
         if drop and not dropped:
             flush()
         stack.append((tag, step, drop))
+        open_now[tag] += 1
         dropped += drop
         links += tag == "a"
     flush()
@@ -171,11 +177,17 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _last(stack: list, tag: str) -> int:
-    return max(i for i, s in enumerate(stack) if s[0] == tag)
+    i = len(stack) - 1
+    while stack[i][0] != tag:
+        i -= 1
+    return i
 
 
 def _scope(stack: list, tags: tuple[str, ...] = ("table", "td", "th", "caption", "button", "object", "article", "section", "div", "li")) -> int:
-    return max((i + 1 for i, s in enumerate(stack) if s[0] in tags), default=0)
+    i = len(stack)
+    while i and stack[i - 1][0] not in tags:
+        i -= 1
+    return i
 
 
 #: Elements within a container rather than containers.
