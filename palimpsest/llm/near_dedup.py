@@ -6,6 +6,9 @@ copies, or a passage that many share) are compared by their rarest shingles inst
 of the wanted similarity share one of their first few, and the place where they meet bounds what they can
 share, so that a group's frequent shingles bring together only those that are hardly different. Pairs that
 pass an estimate are held against each other as full sets.
+
+How long a list is, is counted with partial sums before any list is gathered: a task only ever holds short
+ones, and the rows of a long one are joined where they lie, dealt out by salt.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,50 +95,37 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Runs of equal first columns over all batches: the value, and the other columns of its rows. A run
-    is given in parts of 100,000 rows at most; a part that another follows has its value again."""
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            columns = [np.concatenate([k, c]) for k, c in zip(kept, columns)]
-        key = columns[0]
-        if not len(key):
-            continue
-        edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-        bounds = [0, *edges.tolist(), len(key)]
-        for a, b in zip(bounds[:-2], bounds[1:-1]):
-            yield int(key[a]), [c[a:b] for c in columns[1:]]
-        kept = [c[bounds[-2] :] for c in columns]
-        while len(kept[0]) > 100_000:
-            yield int(kept[0][0]), [c[:100_000] for c in kept[1:]]
-            kept = [c[100_000:] for c in kept]
-    if kept is not None and len(kept[0]):
-        yield int(kept[0][0]), [c for c in kept[1:]]
-
-
-def _batch(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in columns], names=names)
-
-
-def _pairs_of_lists(rows: DataFrame, pairs_of, out: str, names: list[str]) -> DataFrame:
-    """``pairs_of`` (a list's first-column value and other columns; whether it goes on) over sorted rows."""
+def _pairs_of_short(rows: DataFrame, key: str, columns: list[str], keep) -> DataFrame:
+    """``a < b``: the reps of all pairs of rows of one ``key`` for which ``keep`` (of the columns' values on
+    either side) holds. Lists have ``SHORT`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[] for _ in names]
-        size, state = 0, None
-        for key, part in _lists(batches):
-            state, found = pairs_of(key, part, state)
-            for column, values in zip(columns, found):
-                column.append(np.asarray(values, np.int64))
-            size += len(found[0])
-            if size > 50_000:
-                yield _batch(columns, names)
-                columns, size = [[] for _ in names], 0
-        yield _batch(columns, names)
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                now = [np.concatenate([k, c]) for k, c in zip(kept, now)]
+            # the last list may go on in the next batch
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            kept = [c[cut:] for c in now]
+            yield pairs([c[:cut] for c in now])
+        if kept is not None:
+            yield pairs(kept)
 
-    return rows.mapInArrow(run, out)
+    def pairs(now: list[np.ndarray]) -> pa.RecordBatch:
+        of, rep, *more = now
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, SHORT):  # rows of one list lie side by side
+            i = np.flatnonzero(of[step:] == of[:-step])
+            if not len(i):
+                break
+            j = i + step
+            ok = keep([m[i] for m in more], [m[j] for m in more]) & (rep[i] != rep[j])
+            found_a.append(np.minimum(rep[i], rep[j])[ok])
+            found_b.append(np.maximum(rep[i], rep[j])[ok])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return rows.select(key, "rep", *columns).repartition(key).sortWithinPartitions(key, "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -196,23 +186,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     first = known.join(classes, ["d1", "d2"]).where("id = rep")
 
     # lists of the classes that share a key
-    lists = first.select(F.explode("keys").alias("key"), "rep")
-    lists = lists.repartition("key").sortWithinPartitions("key", "rep")
-
-    def short(key: int, part: list[np.ndarray], state):
-        rep = part[0]
-        again = state is not None and state[0] == key
-        rep = np.unique(rep)
-        if again or len(rep) > SHORT:
-            return (key, True), (rep, rep, np.ones(len(rep)))
-        if len(rep) < 2:
-            return (key, False), ((), (), ())
-        a, b = np.triu_indices(len(rep), 1)
-        return (key, False), (rep[a], rep[b], np.zeros(len(a)))
-
-    met = stored(_pairs_of_lists(lists.select("key", "rep"), short, "a long, b long, long_list long", ["a", "b", "long_list"]).distinct(), "met")
+    lists = stored(first.select(F.explode("keys").alias("key"), "rep"), "lists")
+    sizes = stored(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > SHORT).alias("long_list")), "sizes")
+    met = _pairs_of_short(lists.join(sizes.where("not long_list"), "key"), "key", [], lambda left, right: True)
+    dense = lists.join(sizes.where("long_list"), "key").select("rep").distinct()
     sketch_of = first.select("rep", "sketch")
-    near = met.where("long_list = 0").join(sketch_of.select(F.col("rep").alias("a"), F.col("sketch").alias("left")), "a").join(sketch_of.select(F.col("rep").alias("b"), F.col("sketch").alias("right")), "b")
+    near = stored(met, "met").join(sketch_of.select(F.col("rep").alias("a"), F.col("sketch").alias("left")), "a").join(sketch_of.select(F.col("rep").alias("b"), F.col("sketch").alias("right")), "b")
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +202,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
     pairs = stored(near.select("a", "b", "left", "right").mapInArrow(estimated, "a long, b long").distinct(), "pairs")
-    dense = met.where("long_list = 1").select(F.col("a").alias("rep"))
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().withColumn("dense", F.lit(False))
     wanted = wanted.unionByName(dense.withColumn("dense", F.lit(True))).groupBy("rep").agg(F.max("dense").alias("dense"))
 
@@ -239,15 +217,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     sets = some.join(wanted, "rep").select("rep", "dense", "text").mapInArrow(full, "rep long, dense boolean, n long, shingles binary")
     sets = stored(sets.where("n > 0"), "sets")
 
-    rare = _rarest(sets.where("dense"), threshold)
-    starred = stored(rare.distinct(), "starred")
-    links = similar_links(sets, pairs.unionByName(starred.where("key is null").select("a", "b")).distinct(), threshold)
+    meeting, long_lists = _rarest(sets.where("dense"), threshold)
+    links = similar_links(sets, stored(pairs.unionByName(meeting).distinct(), "pairs"), threshold)
     # an id with several texts ties their classes together
     several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high").select("id")
     tied = known.join(several, "id").join(classes, ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stored(links.unionByName(tied), "links")
     reached = components(links)
-    more = similar_links(sets, _left_over(starred.where("key is not null"), reached, threshold), threshold)
+    more = similar_links(sets, _left_over(long_lists, reached, threshold), threshold)
     reached = stored(components(links.unionByName(stored(more, "links"))), "components")
 
     of_class = classes.join(reached.withColumnsRenamed({"node": "rep"}), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -257,18 +234,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
 
 
-def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that share one of their rarest shingles where that leaves room for the similarity:
-    ``a, b`` (``key`` null); for a long list, pairs with those of its classes that come first, and the list
-    itself as ``key``, ``a``, its size ``n`` and place ``at``."""
+def _rarest(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of classes that share one of their rarest shingles where that leaves room for the
+    similarity: all of a short list, those with its first class of a long one. And the long lists: ``value,
+    rep``, the set's size ``n`` and the shingle's place ``at`` in it, the list's ``length``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 of = [np.frombuffer(s, "<i8") for s in part.column(1).to_pylist()]
-                rep = np.repeat(part.column(0).to_numpy(), [len(s) for s in of])
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([np.zeros(0, np.int64), *of])), pa.array(np.repeat([len(s) for s in of], [len(s) for s in of]).astype(np.int64))], names=["rep", "value", "n"])
+                size = np.array([len(s) for s in of], np.int64)
+                rep = np.repeat(part.column(0).to_numpy(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([np.zeros(0, np.int64), *of])), pa.array(np.repeat(size, size))], names=["rep", "value", "n"])
 
     spelled = stored(sets.select("rep", "shingles").mapInArrow(spread, "rep long, value long, n long"), "shingles")
     shared = spelled.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -276,60 +254,43 @@ def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
     order = Window.partitionBy("rep", "n").orderBy("df", "value")
     # shingles of this class alone come first of all, so they only move the others on
     alone = F.col("n") - F.count("*").over(Window.partitionBy("rep", "n"))
-    placed = known.select("rep", "value", "n", "df", (alone + F.row_number().over(order) - 1).alias("at"))
-    t = F.lit(threshold)
-    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.round(t * F.col("n"), 6)))
-    prefix = prefix.repartition("value").sortWithinPartitions("value", "at", "rep")
-
-    def meet(key: int, part: list[np.ndarray], state):
-        rep, n, at = part
-        again = state is not None and state[0] == key
-        if not again and len(rep) <= SHORT:
-            a, b = np.triu_indices(len(rep), 1)
-            none = np.full(len(a), -1)
-            keep = fits(n[a], at[a], n[b], at[b], threshold) & (rep[a] != rep[b])
-            return (key, None), (np.minimum(rep[a], rep[b])[keep], np.maximum(rep[a], rep[b])[keep], none[keep], none[keep], none[keep], none[keep])
-        first = state[1] if again else (rep[:2], n[:2], at[:2])
-        out = [[rep], [np.full(len(rep), -1)], [np.full(len(rep), key)], [n], [at], [np.ones(len(rep), np.int64)]]
-        for p, pn, pat in zip(*first):
-            keep = fits(n, at, np.full(len(n), pn), np.full(len(n), pat), threshold) & (rep != p)
-            none = np.full(int(keep.sum()), -1)
-            for column, values in zip(out, (np.minimum(rep[keep], p), np.maximum(rep[keep], p), none, none, none, none)):
-                column.append(values)
-        return (key, first), tuple(np.concatenate(c) for c in out)
-
-    found = _pairs_of_lists(prefix.select("value", "rep", "n", "at"), meet, "a long, b long, value long, n long, at long, long_list long", ["a", "b", "value", "n", "at", "long_list"])
-    return found.select("a", "b", F.when(F.col("long_list") == 1, F.col("value")).alias("key"), "n", "at")
-
-
-def fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray, threshold: float) -> np.ndarray:
+    placed = known.select("rep", "value", "n", (alone + F.row_number().over(order) - 1).alias("at"))
+    prefix = stored(placed.where(F.col("at") <= F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 6))), "prefix")
+
+    lengths = stored(prefix.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("at", "rep", "n")).alias("first")).where("length > 1"), "lengths")
+    fit = lambda left, right: _fit_arrays(*left, *right, threshold)
+    short = _pairs_of_short(prefix.join(lengths.where(F.col("length") <= SHORT), "value"), "value", ["n", "at"], fit)
+    long_lists = prefix.join(lengths.where(F.col("length") > SHORT), "value")
+    starred = long_lists.where(F.col("rep") != F.col("first.rep")).where(_fit_columns(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), threshold))
+    starred = starred.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
+    return short.unionByName(starred), long_lists.select("value", "rep", "n", "at", "length")
+
+
+def _fit_arrays(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sets of ``n`` and ``m`` shingles that meet first at places ``at`` and ``bt`` of their orders can
     have the similarity: what is left of either must hold the overlap that it takes."""
     need = threshold / (1 + threshold) * (n + m) - 1e-6
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6) & (np.minimum(n - at, m - bt) >= need)
 
 
+def _fit_columns(n: Column, at: Column, m: Column, bt: Column, threshold: float) -> Column:
+    """``_fit_arrays`` of columns."""
+    need = threshold / (1 + threshold) * (n + m) - 1e-6
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (F.least(n - at, m - bt) >= need)
+
+
 def _left_over(lists: DataFrame, reached: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within long lists that stars left in different components and that fit each other."""
-    known = lists.select("key", F.col("a").alias("rep"), "n", "at").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = stored(known, "lists")
-    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    rows = known.join(mixed, "key").repartition("key").sortWithinPartitions("key", "at", "rep")
-
-    def cross(key: int, part: list[np.ndarray], state):
-        if state is not None and state[0] == key:  # a list beyond one part is held as a whole
-            part = [np.concatenate(x) for x in zip(state[1], part)]
-            new = len(state[1][0])
-        else:
-            new = 0
-        rep, n, at, component = part
-        out_a, out_b = [], []
-        for i in range(len(rep)):
-            j = slice(max(i + 1, new), None)
-            keep = (component[j] != component[i]) & fits(n[j], at[j], np.full(len(n[j]), n[i]), np.full(len(n[j]), at[i]), threshold)
-            out_b.append(rep[j][keep])
-            out_a.append(np.full(len(out_b[-1]), rep[i]))
-        a, b = np.concatenate([np.zeros(0, np.int64), *out_a]), np.concatenate([np.zeros(0, np.int64), *out_b])
-        return (key, part), (np.minimum(a, b), np.maximum(a, b))
-
-    return stored(_pairs_of_lists(rows.select("key", "rep", "n", "at", "component"), cross, "a long, b long", ["a", "b"]).distinct(), "rest")
+    """Pairs within long lists that are still in different components and fit each other: the classes of a
+    list outside its first one's component against all of it, a list's rows dealt out by salt."""
+    per = 1_000
+    known = lists.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = stored(known, "members")
+    homes = known.groupBy("value").agg(F.min(F.struct("at", "rep", "component")).alias("first"))
+    homes = homes.select("value", F.col("first.component").alias("home"))
+    apart = known.join(homes, "value").where("component <> home")
+    salts = (F.col("length") / per).cast("int")
+    left = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).select("value", "salt", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "at", "component")))
+    right = known.withColumn("salt", F.pmod(F.xxhash64("rep"), salts + 1).cast("int"))
+    both = left.join(right, ["value", "salt"]).where(F.col("component") != F.col("component_"))
+    both = both.where(_fit_columns(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), threshold))
+    return stored(both.select(F.least("rep", "rep_").alias("a"), F.greatest("rep", "rep_").alias("b")).distinct(), "rest")
