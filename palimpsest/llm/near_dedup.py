@@ -210,12 +210,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
             for texts in pieces(batch.column(2)):
                 sets = shingle_sets(texts)
                 part = batch.slice(texts.low, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["rep", "dense", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["rep", "dense", "n", "part", "shingles"])
 
     wanted = stored(wanted, "wanted")
     some = marked(rows.withColumnRenamed("id", "rep"), "rep", wanted.select("rep"), "likely").where("likely").drop("likely")
-    sets = some.join(wanted, "rep").select("rep", "dense", "text").mapInArrow(full, "rep long, dense boolean, n long, shingles binary")
-    sets = stored(sets.where("n > 0"), "sets")
+    sets = some.join(wanted, "rep").select("rep", "dense", "text").mapInArrow(full, "rep long, dense boolean, n long, part long, shingles binary")
+    sets = stored(sets.where("n > 0").dropDuplicates(["rep", "n", "part"]), "sets")  # repeated rows are one set
 
     meeting, long_lists = _rarest(sets.where("dense"), threshold)
     links = similar_links(sets, stored(pairs.unionByName(meeting).distinct(), "pairs"), threshold)
@@ -245,16 +245,16 @@ def _rarest(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 part = batch.slice(at, 200)
                 of = [np.frombuffer(s, "<i8") for s in part.column(1).to_pylist()]
                 size = np.array([len(s) for s in of], np.int64)
-                rep = np.repeat(part.column(0).to_numpy(), size)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([np.zeros(0, np.int64), *of])), pa.array(np.repeat(size, size))], names=["rep", "value", "n"])
+                rep, own = (np.repeat(part.column(c).to_numpy(), size) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate([np.zeros(0, np.int64), *of])), pa.array(np.repeat(size, size)), pa.array(own)], names=["rep", "value", "n", "part"])
 
-    spelled = stored(sets.select("rep", "shingles").mapInArrow(spread, "rep long, value long, n long"), "shingles")
+    spelled = stored(sets.select("rep", "shingles", "part").mapInArrow(spread, "rep long, value long, n long, part long"), "shingles")
     shared = spelled.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     known = spelled.join(shared, "value")
-    order = Window.partitionBy("rep", "n").orderBy("df", "value")
+    of_set = Window.partitionBy("rep", "n", "part")
     # shingles of this class alone come first of all, so they only move the others on
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep", "n"))
-    placed = known.select("rep", "value", "n", (alone + F.row_number().over(order) - 1).alias("at"))
+    alone = F.col("n") - F.count("*").over(of_set)
+    placed = known.select("rep", "value", "n", (alone + F.row_number().over(of_set.orderBy("df", "value")) - 1).alias("at"))
     prefix = stored(placed.where(F.col("at") <= F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 6))), "prefix")
 
     lengths = stored(prefix.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("at", "rep", "n")).alias("first")).where("length > 1"), "lengths")

@@ -64,10 +64,11 @@ def corpus():
 
 def test_components_are_those_of_all_pairs(spark, corpus):
     rows = [(i, t, "clash") for i, t in corpus]
-    docs = spark.createDataFrame(rows + rows[:3] + [(None, corpus[0][1], "x")], "doc_id long, text string, n string")
+    again = rows[:3] + rows[-260:-200]  # of the group too
+    docs = spark.createDataFrame(rows + again + [(None, corpus[0][1], "x")], "doc_id long, text string, n string")
     out = near_dedup.near_duplicates(docs).collect()
     want = brute(corpus)
-    assert len(out) == len(rows) + 4
+    assert len(out) == len(rows) + len(again) + 1
     for r in out:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
