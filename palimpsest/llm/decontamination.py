@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,17 +167,18 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                 at, keep, new = batch.schema.get_field_index(text_col), np.ones(batch.num_rows, bool), {}
                 for texts in pieces(batch.column(at)):
                     found, mask, _ = known.scan(texts)
-                    for row in np.flatnonzero(row_sums(mask, found.first)):
+                    for row in np.flatnonzero(row_sums(mask, found.first)).tolist():
                         text, total, hit = known.cleaned(texts.text(row).decode("utf-8", "replace"))
                         keep[texts.low + row] = hit <= drop_share * total
                         new[texts.low + row] = text
                 if new:
-                    columns = list(batch.columns)
-                    old = batch.column(at).to_pylist()
-                    columns[at] = pa.array([new.get(i, t) for i, t in enumerate(old)], batch.schema.field(at).type)
-                    size = batch.schema.get_field_index(chars_col) if chars_col else -1
-                    if size >= 0:
-                        columns[size] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(batch.column(size).to_pylist())], batch.schema.field(size).type)
+                    columns, changed = list(batch.columns), np.zeros(batch.num_rows, bool)
+                    changed[list(new)] = True
+                    values = {at: [new[i] for i in sorted(new)]}
+                    if chars_col and (size := batch.schema.get_field_index(chars_col)) >= 0:
+                        values[size] = [len(t) for t in values[at]]
+                    for k, of in values.items():
+                        columns[k] = pc.replace_with_mask(columns[k], pa.array(changed), pa.array(of, columns[k].type))
                     batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
                 yield batch
 

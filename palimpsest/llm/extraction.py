@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from .runtime import stored
 from .urls import split_url
+from .words import slices
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.DOTALL)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
@@ -245,7 +246,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = Counter((split_url(url)[0], best_path(blocks_of(page or ""))) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            votes = Counter((split_url(url)[0], best_path(blocks_of(page or ""))) for part in slices(batch) for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
             found = [(h, p, n) for (h, p), n in votes.items() if p is not None]
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["host", "path", "votes"])
@@ -259,7 +260,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     joined = salted.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["host", "salt"], "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = []
             for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 blocks = blocks_of(page or "")

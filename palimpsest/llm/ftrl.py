@@ -143,13 +143,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["id", "label", "i", "n"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, examples = Ftrl(bits=bits), []
-        for batch in batches:
-            for i, n, y in zip(*(batch.column(c).to_pylist() for c in ("i", "n", "label"))):
-                counts = np.frombuffer(n, "<i4")
-                examples.append((np.frombuffer(i, "<i4"), (counts / counts.sum() * model.scale).astype(np.float32), int(y > 0)))
-        weights, bias, *_ = model.fit(examples, epochs).model()
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+        model = Ftrl(bits=bits)
+        parts = list(batches)
+        sample = pa.Table.from_batches(parts) if parts else None
+        order = np.random.default_rng(7)
+        if sample is not None:
+            ids, counts = (sample[c].combine_chunks() for c in ("i", "n"))  # one buffer each, no object a row
+            first = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] // 4
+            ids, counts = (np.frombuffer(x.buffers()[2], "<i4") for x in (ids, counts))
+            labels = (sample["label"].to_numpy() > 0).astype(int)
+            for _ in range(epochs):
+                for k in order.permutation(len(labels)):
+                    a, b = first[k], first[k + 1]
+                    model.learn(ids[a:b], counts[a:b] / counts[a:b].sum() * model.scale, labels[k])
+        weights, bias, *_ = model.model()
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = sample.mapInArrow(featurise, f"id {kind}, label int, i binary, n binary").repartition(1).sortWithinPartitions("id", "i")

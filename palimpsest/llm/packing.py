@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .runtime import stored
+from .words import slices
 
 END_ID = 1
 
@@ -226,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, bucket = encoder(*source), TaskContext.get().partitionId()
         seen, chunks, key = np.zeros(window, np.int64), 0, bucket << 36
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns: list[list] = [[] for _ in range(9)]
             for text in batch.column(1).to_pylist():
                 ids = np.append(code(text or ""), np.uint32(end_id))
@@ -259,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: list[list] = [[] for _ in range(7)]
             which = []
             rows = zip(*(batch.column(c).to_pylist() for c in ("key", "doc_tokens", "crcs", "chunk_rank", "length", "crc", "rank", "before", "chunks_before")))

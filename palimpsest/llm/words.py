@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes of text handled at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+#: Bytes of text handled at once, so few that the arrays over them stay in the cache; a longer text is a piece
+#: of its own.
+PIECE_BYTES = 1 << 17
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -177,3 +178,9 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the rows that ``first`` bounds."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of ``rows``, for work that makes Python objects of its rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
