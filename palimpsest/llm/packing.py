@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,24 @@ class Encoder:
     _LONG_RUN = 4096
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens", [])]
         self.fast = None
         if ranks:
             import tiktoken
 
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+            with open(ranks, "rb") as file:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The tokenizer itself, which takes much memory: it is read when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special) or (len(text) > self._LONG_RUN and max(map(len, text.split()), default=0) > self._LONG_RUN):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
