@@ -14,8 +14,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import scratch, stored
+from .words import slices
 
 #: Little-endian magic numbers: of the skippable frame that holds the dictionary, of a dictionary, of a frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -91,9 +93,13 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def train_dictionary(pages: DataFrame, size: int = 64 << 10, samples: int = 1_000, sample_bytes: int = 16 << 10, html_col: str = "html") -> bytes:
     """A dictionary of at most ``size`` bytes from ``samples`` records (those with the smallest hash of the
-    payload), of which training sees ``sample_bytes`` each. Without enough to train on: none."""
+    row), of which training sees ``sample_bytes`` each. Without enough to train on: none."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    chosen = pages.select(F.substring(payload, 1, sample_bytes).alias("payload"), F.xxhash64(html_col).alias("h")).where("length(payload) > 0").orderBy("h").limit(samples)
+    plain = [f.name for f in pages.schema.fields if isinstance(f.dataType, (T.StringType, T.IntegralType))]
+    rows = pages.select(F.substring(payload, 1, sample_bytes).alias("payload"), F.pmod(F.xxhash64(*plain), F.lit(1 << 31)).alias("h"))
+    # tasks send rows with a hash up to twice as large as the sample takes, not a whole sample each
+    bound = min(1 << 31, -(-2 * samples * (1 << 31) // max(1, pages.count())))
+    chosen = rows.where(F.col("h") < bound).where("length(payload) > 0").orderBy("h").limit(samples)
     found = [record(str(i), "", bytes(r.payload), "", None, "") for i, r in enumerate(chosen.select("payload").collect())]
     try:
         return zstandard.train_dictionary(size, found).as_bytes() if len(found) >= 8 else b""
@@ -144,7 +150,7 @@ def write_archives(pages: DataFrame, to: str, dictionary: bytes = b"", level: in
                     out.write(part)
             done.append((f"{to}/{name}", archive.records, archive.size))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for page, url, html, sha, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "html", "sha", "first"))):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 archive.add(record("null" if page is None else str(page), _header(url), html.encode(), digest, None if refers is None else str(refers), date))
