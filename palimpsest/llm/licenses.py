@@ -18,9 +18,13 @@ _BETWEEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: The phrases whose places are counted, and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: A text without any of these has no phrase and fits no rule.
+#: A text without any of these, and without a grant (below), has no phrase and fits no rule.
 GATE = ["licen", "copyright", "cc by", "cc0", "rights reserved", "general public", "public domain", "spdx", "creativecommons", "creative commons", "opensource org", "copyleft", "permission", "redistribution", "without warranty", "terms of", "eclipse org", "mozilla org", "sil org", "eupl", "wtfpl", "bsl11"]
 
+#: How a grant without the word license begins. Only a text with one of the connections is searched for it.
+CONNECTIONS = [" under ", " in accordance with ", " according to "]
+GRANT = r"(?:released|distributed|available|published|provided)(?: to you)?(?: only)?(?:" + "|".join(CONNECTIONS) + ")"
+
 #: label, keyword that the text must hold (one of several), the name as it is written, the SPDX identifier, the address.
 #: ``V`` stands for an optional word "version" or "v".
 LICENSES = [
@@ -191,6 +195,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(lowered, F.lit(word))
+    connected = F.lit(False)
+    for word in CONNECTIONS:
+        connected = connected | F.contains(lowered, F.lit(word))
+    gate = gate | (connected & F.rlike(lowered, F.lit(GRANT)))
     rows = rows.withColumn("norm", F.when(gate, F.concat(F.lit(" "), F.translate("words", _UPPER, _LOWER), F.lit(" "))))
     rows = rows.select("id", "n_words", "norm")
 

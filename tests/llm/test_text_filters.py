@@ -237,6 +237,48 @@ def test_every_rule_passes_the_gate_and_nothing_leaves_the_jvm(spark):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def matches(pattern):
+    """Texts that ``pattern`` matches: every alternative, with all that may be missing and with nothing of it."""
+
+    def of(items, full):
+        found = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else ["3"]
+            elif op == "SUBPATTERN":
+                more = of(arg[-1], full)
+            elif op == "BRANCH":
+                more = [t for branch in arg[1] for t in of(branch, full)]
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = of(arg[2], full)[:1] if full or arg[0] else [""]
+            else:
+                assert op in ("ASSERT", "AT"), op
+                more = [""]
+            found = [a + b for a in found for b in more]
+        return found
+
+    return {t for full in (False, True) for t in of(re._parser.parse(pattern), full)}
+
+
+def test_every_alternative_is_found_alone(spark):
+    table = licenses.rules()
+    alone = sorted({t for of in table.values() for rule in of for t in matches(rule["pattern"])})
+    for rule in {r["pattern"]: r for of in table.values() for r in of}.values():
+        keywords = [k for k, of in table.items() if rule in of]
+        assert all(re.fullmatch(rule["pattern"][6:-5], t) and any(k in t for k in keywords) for t in matches(rule["pattern"])), rule
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string").repartition(4)
+    assert [alone[r.doc_id] for r in licenses.scan_licenses(docs).where("labels = ''").collect()] == []
+
+
+def test_grants_without_the_word_license(spark):
+    given = {"Released under the GPL v3": "gpl-3.0", "Distributed under the MIT.": "mit", "It is available under Apache 2.0": "apache-2.0", "Provided to you only according to the terms of BSD": "bsd", "she lived under MIT": ""}
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()] == list(given.values())
+
+
 def test_digest_of_items_is_of_sorted_strings(spark):
     out = {r.doc_id: r for r in registered.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     assert any(r.contaminated for r in out.values())
