@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import free_name, stored
 from .words import LETTERED, Texts, Words, pieces, runs_to_mask, row_sums, span_hashes, windows, words
 
 WINDOW = 10
@@ -21,6 +23,30 @@ def _joined(texts: Texts, found: Words, begin: int, size: int) -> bytes:
     return b" ".join(texts.buf[s:e].tobytes().lower() for s, e in zip(found.start[begin : begin + size], found.end[begin : begin + size]))
 
 
+def _without(raw: bytes, start: np.ndarray, end: np.ndarray, spans: Iterable[tuple[int, int]]) -> str:
+    """``raw`` without the words of ascending, disjoint ``spans`` and what stands between them."""
+    keep, last = [], 0
+    for a, b in spans:
+        keep.append(raw[last : start[a]])
+        last = int(end[b - 1])
+    return b"".join([*keep, raw[last:]]).decode("utf-8", "replace")
+
+
+def _row_spans(found: Words, mask: np.ndarray, rows: int) -> list[list[list[int]]]:
+    """[begin, end) of the runs of words in ``mask``, in words of their row, by row."""
+    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cut = found.first[1:-1]  # a run that goes on into the next text is two
+    over = cut[mask[np.minimum(cut, len(mask) - 1)] & mask[cut - 1] & (cut > 0) & (cut < len(mask))] if len(mask) and len(cut) else cut[:0]
+    over = np.unique(over)
+    begin, end = np.sort(np.concatenate([begin, over])), np.sort(np.concatenate([end, over]))
+    row = np.searchsorted(found.first, begin, side="right") - 1
+    spans: list[list[list[int]]] = [[] for _ in range(rows)]
+    for r, a, b in zip(row.tolist(), (begin - found.first[row]).tolist(), (end - found.first[row]).tolist()):
+        spans[r].append([a, b])
+    return spans
+
+
 class WindowSet:
     """Windows of the items' normalised words, by hash: what a hash stands for is kept to verify hits."""
 
@@ -73,12 +99,8 @@ class WindowSet:
             total, hit = (len(mask), int(mask.sum())) if total is None else (total, hit)
             if not mask.any():
                 return text, total, hit
-            raw, keep, last = texts.buf.tobytes(), [], 0
             edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                keep.append(raw[last : found.start[a]])
-                last = int(found.end[b - 1])
-            text = b"".join([*keep, raw[last:]]).decode("utf-8", "replace")
+            text = _without(texts.buf.tobytes(), found.start, found.end, zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
 
 
 def _sets(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_bytes: int) -> tuple[int, Iterator[WindowSet]]:
@@ -115,16 +137,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in batches:
                 for texts in pieces(batch.column(1)):
                     found, mask, items = shared.value.scan(texts)
-                    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-                    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    cut = found.first[1:-1]  # a run that goes on into the next text is two
-                    over = cut[mask[np.minimum(cut, len(mask) - 1)] & mask[cut - 1] & (cut > 0) & (cut < len(mask))] if len(mask) and len(cut) else cut[:0]
-                    over = np.unique(over)
-                    begin, end = np.sort(np.concatenate([begin, over])), np.sort(np.concatenate([end, over]))
-                    row = np.searchsorted(found.first, begin, side="right") - 1
-                    spans: list[list[list[int]]] = [[] for _ in range(len(texts))]
-                    for r, a, b in zip(row.tolist(), (begin - found.first[row]).tolist(), (end - found.first[row]).tolist()):
-                        spans[r].append([a, b])
+                    spans = _row_spans(found, mask, len(texts))
                     part = batch.slice(texts.low, len(texts))
                     if more:
                         spans = [_union(a, b or []) for a, b in zip(spans, part.column(3).to_pylist())]
@@ -150,18 +163,22 @@ def _union(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
 def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, drop_share: float = 0.5, max_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with the same columns, without what they share with the benchmark (see ``find_overlaps``).
 
-    Hit words go, with what stands between them; a document goes as a whole where more than
-    ``drop_share`` of its words are hit (0: any hit). ``chars_col``, where ``docs`` has it, is set to the
-    length of a changed text. Documents without a hit stay as they are, null and empty texts too.
+    Hit words go, with what stands between them, until nothing is hit; a document goes as a whole where
+    more than ``drop_share`` of its words are hit at first (0: any hit). ``chars_col``, where ``docs`` has
+    it, is set to the length of a changed text. Documents without a hit stay as they are, null and empty
+    texts too. A benchmark of several slices (see ``max_bytes``) gives the same: hits of all slices are
+    gathered over one text before it is cut.
     """
     names = docs.columns
     if text_col not in names:
         raise ValueError(f"no column {text_col}")
-    for k, known in enumerate(_sets(benchmark, item_col, item_text_col, window, max_bytes)[1]):
-        docs = stored(docs, "slice") if k else docs
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+    n, sets = _sets(benchmark, item_col, item_text_col, window, max_bytes)
+    shared = [docs.sparkSession.sparkContext.broadcast(known) for known in sets]
+    if n > 1:
+        return _remove_by_slices(docs, shared, text_col, chars_col, drop_share)
+    for known in shared:
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shared=known) -> Iterator[pa.RecordBatch]:
             known = shared.value
             for batch in batches:
                 at, keep, new = batch.schema.get_field_index(text_col), np.ones(batch.num_rows, bool), {}
@@ -172,15 +189,52 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                         keep[texts.low + row] = hit <= drop_share * total
                         new[texts.low + row] = text
                 if new:
-                    columns, changed = list(batch.columns), np.zeros(batch.num_rows, bool)
-                    changed[list(new)] = True
-                    values = {at: [new[i] for i in sorted(new)]}
-                    if chars_col and (size := batch.schema.get_field_index(chars_col)) >= 0:
-                        values[size] = [len(t) for t in values[at]]
-                    for k, of in values.items():
-                        columns[k] = pc.replace_with_mask(columns[k], pa.array(changed), pa.array(of, columns[k].type))
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                    batch = pa.RecordBatch.from_arrays(_replaced(batch, new, text_col, chars_col), schema=batch.schema).filter(pa.array(keep))
                 yield batch
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
+
+
+def _replaced(batch: pa.RecordBatch, new: dict[int, str], text_col: str, chars_col: str | None) -> list[pa.Array]:
+    """The columns of ``batch`` with the texts ``new``, by row, and their lengths."""
+    at, columns, changed = batch.schema.get_field_index(text_col), list(batch.columns), np.zeros(batch.num_rows, bool)
+    changed[list(new)] = True
+    values = {at: [new[i] for i in sorted(new)]}
+    if chars_col and (size := batch.schema.get_field_index(chars_col)) >= 0:
+        values[size] = [len(t) for t in values[at]]
+    for k, of in values.items():
+        columns[k] = pc.replace_with_mask(columns[k], pa.array(changed), pa.array(of, columns[k].type))
+    return columns
+
+
+def _remove_by_slices(docs: DataFrame, sets: list[Broadcast], text_col: str, chars_col: str | None, drop_share: float) -> DataFrame:
+    """``remove_overlaps`` by several window sets: each round scans one text with all of them, unites their
+    spans and cuts. Only what a round has cut is scanned in the next; the first decides what goes."""
+    names, column, done, first = docs.columns, free_name(docs, "spans"), [], True
+    open_ = docs.withColumn(column, F.lit(None).cast("array<array<long>>"))
+    schema = open_.schema
+    while first or not open_.isEmpty():
+        for k, known in enumerate(sets):
+
+            def scan(batches: Iterator[pa.RecordBatch], shared=known, last=k + 1 == len(sets), drop=drop_share if first else None) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    at, keep, new, spans = batch.schema.get_field_index(text_col), np.ones(batch.num_rows, bool), {}, batch.column(batch.num_columns - 1).to_pylist()
+                    for texts in pieces(batch.column(at)):
+                        found, mask, _ = shared.value.scan(texts)
+                        for row, here in enumerate(_row_spans(found, mask, len(texts)), texts.low):
+                            spans[row] = _union(here, spans[row] or []) or None
+                            if last and spans[row]:
+                                a, b = found.first[row - texts.low], found.first[row - texts.low + 1]
+                                zero = texts.at[row - texts.low]
+                                new[row] = _without(texts.text(row - texts.low), found.start[a:b] - zero, found.end[a:b] - zero, spans[row])
+                                keep[row] = drop is None or sum(e - s for s, e in spans[row]) <= drop * int(b - a)
+                    columns = _replaced(batch, new, text_col, chars_col) if new else list(batch.columns)
+                    columns[-1] = pa.array(spans, columns[-1].type)
+                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+            open_ = stored(open_.mapInArrow(scan, schema), "slice")
+        done.append(open_.where(F.col(column).isNull()).select(names))
+        open_ = open_.where(F.col(column).isNotNull()).withColumn(column, F.lit(None).cast("array<array<long>>"))
+        first = False
+    return reduce(DataFrame.unionByName, done)

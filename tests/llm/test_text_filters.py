@@ -134,6 +134,23 @@ def test_removal_leaves_nothing_of_the_benchmark(spark):
     assert again.agg({"n_hit": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("drop_share", [0.5, 1.0])
+def test_removal_by_slices_is_that_by_one(spark, drop_share):
+    rng = np.random.default_rng(2)
+    w = [f"w{i}" for i in range(400)]
+    rest = " ".join(f"own{i}" for i in range(25))
+    items = [(i, " ".join(w[i : i + 14])) for i in range(0, 380, 3)] + [(500, "tail end")]
+    texts = [f"{rest} {' '.join(w[a : a + n])}, {rest}" for a, n in zip(rng.integers(0, 300, 40).tolist(), rng.integers(5, 60, 40).tolist())]
+    texts += [" ".join([rest, *w[:14], rest, *w[200:214]]), " ".join([rest, *w[:20], *w[100:120]]), " ".join([*w[:5], *w[50:70], *w[5:30], rest, rest]), f"tail {items[0][1]} end {rest}", rest, None, "", "é " * 30 + items[7][1]]
+    docs = spark.createDataFrame([(i, t, -1, [[i]]) for i, t in enumerate(texts)] * 2, "doc_id long, text string, n_chars long, spans array<array<long>>")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r.doc_id, r.text or "")
+    want = sorted(decontamination.remove_overlaps(docs, bench, drop_share=drop_share).collect(), key=key)
+    got = decontamination.remove_overlaps(docs, bench, drop_share=drop_share, max_bytes=2500)
+    assert got.columns == docs.columns and sorted(got.collect(), key=key) == want
+    assert decontamination.find_overlaps(got, bench).agg({"n_hit": "sum"}).first()[0] == 0
+
+
 # Quality rules
 
 
