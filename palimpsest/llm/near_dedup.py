@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from .words import SPACED, Texts, pieces, span_hashes, windows, words
 SHINGLE = 5
 #: Retained values of a sketch.
 K = 128
-#: Retained values fall into groups of bins by their last digits; a key is the smallest values of ``TAKE`` of
-#: the ``BINS`` bins of one group. At a similarity of 0.85, one of the keys is shared but for 4 in a million.
-GROUPS, BINS, TAKE = 7, 5, 4
+#: Retained values fall into groups of bins by their last digits; a key is the smallest values of some of the
+#: ``BINS`` bins of one group: of as many as leave at most ``MISS`` of the pairs at the threshold without a
+#: shared key (see ``taken``). At a similarity of 0.85 these are four, and 4 pairs in a million share no key.
+GROUPS, BINS, MISS = 7, 5, 1e-5
 #: A list of up to so many classes gives all its pairs.
 SHORT = 16
 #: Estimates may fall short of the threshold by so many standard errors.
@@ -46,8 +48,18 @@ def shingle_sets(texts: Texts) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-def sketch_keys_of(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of many sketches at once, and their bounds."""
+def missed(similarity: float, take: int) -> float:
+    """The share of pairs of a similarity that share no key of ``take`` bins: in no group do so many agree."""
+    return sum(comb(BINS, k) * similarity**k * (1 - similarity) ** (BINS - k) for k in range(take)) ** GROUPS
+
+
+def taken(threshold: float) -> int:
+    """The bins of a key: the more, the shorter the lists."""
+    return max(take for take in range(1, BINS) if take == 1 or missed(threshold, take) <= MISS)
+
+
+def sketch_keys_of(sketches: list[np.ndarray], take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``take`` bins of many sketches at once, and their bounds."""
     n = GROUPS * BINS
     sizes = np.array([len(s) for s in sketches], np.int64)
     least = np.zeros((len(sketches), n), np.uint64)
@@ -55,9 +67,9 @@ def sketch_keys_of(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values = np.concatenate(sketches)[::-1]
         row = np.repeat(np.arange(len(sketches)), sizes)[::-1]
         least[row, (values % np.uint64(n)).astype(np.int64)] = values
-    keys = np.zeros((len(sketches), GROUPS * BINS), np.uint64)
+    keys = np.zeros((len(sketches), GROUPS * comb(BINS, take)), np.uint64)
     some = np.zeros(keys.shape, bool)
-    chosen = [c for c in combinations(range(BINS), TAKE)]
+    chosen = [c for c in combinations(range(BINS), take)]
     with np.errstate(over="ignore"):
         for g in range(GROUPS):
             for c, of in enumerate(chosen):
@@ -159,13 +171,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
 
     A document's set: its distinct runs of five words (A-Z lower-cased), or all words as one if fewer;
     a null or empty text, or one without words, has none and is linked with nothing. Documents with a
-    similarity of ``threshold`` (two decimals) or more are linked; ``component_id`` is the smallest id
+    similarity of ``threshold`` (two decimals) or more are linked, but for at most 1e-5 of the pairs right
+    at the threshold that share no key, and those below an estimate's 4.5 standard errors; ``component_id`` is the smallest id
     reachable, ``kept`` tells whether it is the document's own. Ids are integers. Rows of one id are one
     document with all their texts; rows with a null id are linked with nothing and kept. Other columns are
     not read.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("the threshold must lie between 0.5 and 1")
+    take = taken(threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
             for texts in pieces(batch.column(1)):
                 sets = shingle_sets(texts)
                 digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets])
-                keys, first = sketch_keys_of([s[:K] for s in sets])
+                keys, first = sketch_keys_of([s[:K] for s in sets], take)
                 columns = [
                     batch.column(0).slice(texts.low, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), _signed(keys)), pa.array([(s[:K] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),

@@ -105,6 +105,20 @@ def test_estimates_follow_similarity():
     assert near_dedup.estimates(small[:1], small[1:])[0][0] == 0.75
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7, 0.8, 0.85])
+def test_pairs_at_any_threshold_share_a_key(threshold):
+    rng, n = np.random.default_rng(5), 1000
+    common = round(n * 2 * threshold / (1 + threshold))
+    sketches = []
+    for _ in range(300):
+        pool = rng.integers(1, 1 << 63, 2 * n - common, dtype=np.uint64)
+        sketches += [np.sort(pool[:n])[: near_dedup.K], np.sort(pool[n - common :])[: near_dedup.K]]
+    keys, first = near_dedup.sketch_keys_of(sketches, near_dedup.taken(threshold))
+    of = [set(keys[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert all(a & b for a, b in zip(of[::2], of[1::2]))
+    assert near_dedup.missed(threshold, near_dedup.taken(threshold)) <= 1e-5 and near_dedup.taken(0.85) == 4
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(1, 2), (2, 1), (3, 3), (2, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
