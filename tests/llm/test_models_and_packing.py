@@ -264,3 +264,10 @@ def test_hosts_vote(spark):
     assert got[10] != got[9]  # without the other pages' votes the larger container wins
     assert all(r.n_chars == len(r.text) for r in out)
     assert extraction.extract_text(table(spark, "pages").limit(0)).count() == 0
+
+
+def test_quality_learns_from_twelve_thousand_rows(spark):
+    docs = spark.range(11_000).selectExpr("id as doc_id", "concat('w', id % 97, ' v', id % 89) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    model, whole = ftrl.train_quality(docs, labels, epochs=1), ftrl.train_quality(docs, labels, rows=11_000, epochs=1)
+    assert (model[0] == whole[0]).all() and model[1] == whole[1]
