@@ -25,7 +25,8 @@ GATE = ["licen", "copyright", "cc by", "cc0", "rights reserved", "general public
 CONNECTIONS = [" under ", " in accordance with ", " according to "]
 GRANT = r"(?:released|distributed|available|published|provided)(?: to you)?(?: only)?(?:" + "|".join(CONNECTIONS) + ")"
 
-#: label, keyword that the text must hold (one of several), the name as it is written, the SPDX identifier, the address.
+#: label, keyword that the text must hold (one of several), the name as it is written, the SPDX identifier, the address (empty: no
+#: rule of its own).
 #: ``V`` stands for an optional word "version" or "v".
 LICENSES = [
     ("apache-1.1", "apache", r"apache (?:software )?(?:licen[sc]e )?V1 1", "apache 1 1", r"apache org licenses license 1 1"),
@@ -43,7 +44,7 @@ LICENSES = [
     ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e V3(?: 0)?", "gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?V?2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?", r"gnu org licenses gpl2"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?V?3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?", r"gnu org licenses gpl3"),
-    ("gpl", "general public", r"(?:gnu )?general public", "gpl", r"gnu org copyleft gpl"),
+    ("gpl", "general public|gpl", r"(?:gnu )?(?:general public|gpl)", "gpl", r"gnu org copyleft gpl"),
     ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e V2 1", "lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e V3(?: 0)?", "lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl", "lgpl 2 0", r"gnu org copyleft lesser"),
@@ -54,6 +55,12 @@ LICENSES = [
     ("mpl-2.0", "mozilla", r"mozilla public(?: licen[sc]e V2(?: 0)?)?", "mpl 2 0", r"mozilla org mpl 2 0"),
     ("epl-1.0", "eclipse", r"eclipse public licen[sc]e V1(?: 0)?", "epl 1 0", r"eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", r"eclipse public(?: licen[sc]e V2(?: 0)?)?", "epl 2 0", r"eclipse org legal epl 2 0"),
+    ("mpl-1.1", "mpl", r"mpl ?V1 1", "", r"opensource org licenses mpl 1 1"),
+    ("mpl-2.0", "mpl", r"mpl ?V2(?: 0)?", "", r"opensource org licenses mpl 2 0"),
+    ("mpl", "mpl", r"mpl", "", ""),
+    ("epl-1.0", "epl", r"epl ?V1(?: 0)?", "", r"opensource org licenses epl 1 0"),
+    ("epl-2.0", "epl", r"epl ?V2(?: 0)?", "", r"opensource org licenses epl 2 0"),
+    ("epl", "epl", r"epl", "", ""),
     ("eupl-1.2", "european union", r"european union public(?: licen[sc]e V1 2)?", "eupl 1 2", r"joinup ec europa eu (?:collection|software page) eupl"),
     ("cddl-1.0", "cddl|common development", r"cddl(?: V1 [01])?|common development and distribution", "cddl 1 [01]", r"opensource org licenses cddl 1 0"),
     ("artistic-2.0", "artistic", r"artistic(?: licen[sc]e V?2(?: 0)?)?", "artistic 2 0", r"opensource org licenses artistic license 2 0"),
@@ -127,6 +134,8 @@ def rules() -> dict[str, list[dict]]:
     found: dict[str, list[dict]] = {}
     for rank, (label, keyword, name, spdx, address) in enumerate(LICENSES):
         for k, (kind, confidence, around) in enumerate(KINDS):
+            if not {"identifier": spdx, "address": address}.get(kind, name):
+                continue
             if kind == "name" and "licen" in surely(name):  # the word is in the name
                 around = "(?:the )?(?:NAME)(?: licen[sc]e)?"
             pattern = around.replace("NAME", name).replace("SPDX", spdx).replace("ADDRESS", address).replace("V", r"(?:v|v |version )?")

@@ -296,6 +296,12 @@ def test_grants_without_the_word_license(spark):
     assert [r.labels for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()] == list(given.values())
 
 
+def test_bare_abbreviations(spark):
+    given = {"Licensed under the GNU GPL": "gpl", "the MPL 2.0 license": "mpl-2.0", "Licensed under MPL": "mpl", "EPL license": "epl", "License: EPL v1.0": "epl-1.0", "Released under the GPL v3": "gpl-3.0", "licensed under the MPL 1.1": "mpl-1.1", "Licensed under LGPL": "lgpl"}
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()] == list(given.values())
+
+
 def test_digest_of_items_is_of_sorted_strings(spark):
     out = {r.doc_id: r for r in registered.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     assert any(r.contaminated for r in out.values())
