@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import html
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -233,8 +236,8 @@ def test_archive_begins_with_its_dictionary(spark, tmp_path):
 
 
 def text_of(page):
-    blocks = extraction.blocks_of(page)
-    return extraction.text_under(blocks, extraction.best_path(blocks))
+    read = extraction.read_page(page)
+    return read.text(read.best_path())
 
 
 def test_extraction_leaves_out_what_surrounds_the_article():
@@ -253,6 +256,69 @@ def test_extraction_survives_broken_markup(page):
     assert isinstance(text_of(page), str)
 
 
+BODY = "Some words of the article that are long enough to count as text. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<main><div class="side-by-side"><p>Left</p></div><div class="share-price-report">Up</div></main>', "Left\n\nUp"),
+        ('<main><p>Story</p><div class="page-footer">Foot</div><div class="page-sidebar">Side</div><div class="has-sidebar">Kept</div><div id="siteFooter">x</div><div class="ad-300x250">y</div></main>', "Story\n\nKept"),
+        ('<body><article><div class="notice">A notice is the story</div></article><div class="ad">Buy</div></body>', "A notice is the story"),
+        ('<body><article></article><div class="ad">Buy</div><nav>x</nav></body>', ""),
+        ('<article><p>Story</p><div class="search-form">Find</div><p class="category-news">More</p><div hidden class="x">No</div><p style="display: none">No</p></article>', "Story\n\nMore"),
+        (f'<body><div class="post"><h2>Title</h2>Lead <a href="/x">text</a>.<div class="entry"><p>{BODY * 4}</p></div><a href="/next">Next story</a></div><div class="other">Else</div></body>', f"Title\n\nLead text.\n\n{(BODY * 4).strip()}"),
+        (f'<body><h1>Title</h1><div class="story"><p>{BODY * 4}</p></div><h4><a href="/x">Other</a></h4></body>', f"Title\n\n{(BODY * 4).strip()}"),
+    ],
+)
+def test_marks_and_what_stands_beside_the_winner(page, want):
+    assert text_of(page) == want
+
+
+HOSTILE = ["<div class=a>x", "<p><a>", "<b><div>", "<div><b>", "<i><p></i>", "<li>", "<table><td>a", "<b><i>x</b>", "<a '", '<a "', "&amp", "<", "</p>", "<select><option>", "<button>", "<button><div></button>", "<span hidden><p>", "<div x='' ", "<!-- ", "<article><div class=notice>"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_time_grows_with_the_page(part):
+    def took(size):
+        began = time.process_time()
+        text_of(part * (size // len(part)))
+        return time.process_time() - began
+
+    took(10_000)
+    times = [took(size) for size in (125_000, 250_000, 500_000, 1_000_000)]
+    assert times[-1] < 5 and times[-1] < 0.3 + 14 * times[0]
+
+
+def test_time_grows_with_attributes():
+    began = time.process_time()
+    assert text_of('<div x="" ' + "a" * 1_000_000 + ">y" + "<p " + "b " * 500_000 + ">z") == "y\n\nz"
+    assert time.process_time() - began < 5
+
+
+def plain_reading(page):
+    """The article of a page of the given tables, by cutting it up at tags: no parser, no scores, no votes."""
+    article = re.search(r"(?s)<article[^>]*>(.*?)</article>", page or "")
+    if not article:
+        return ""
+    inner = re.sub(r'(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class="ad">.*?</div>', "", article[1])
+    parts = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|section|table|tr|td|th|blockquote|pre)\b[^>]*>", inner)
+    return "\n\n".join(t for t in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", part))).split()) for part in parts) if t)
+
+
+def test_extraction_agrees_with_a_plain_reading(spark):
+    pages = table(spark, "pages")
+    want = {r.page_id: plain_reading(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in extraction.extract_text(pages).collect()}
+    assert len(want) >= 50 and got == want
+
+
+def test_heavy_hosts_give_the_same(spark):
+    pages = table(spark, "pages")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(extraction.extract_text(pages, heavy=3)) == rows(extraction.extract_text(pages))
+
+
 def test_hosts_vote(spark):
     body = "words that fill the story of this page and go on for a while "
     story = lambda n: f"<html><body><div class='top'>{body * 2}</div><div class='story-{n}'><p>{body * 9}</p></div></body></html>"
