@@ -152,36 +152,92 @@ def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _detections(norm: Column, candidates: Column) -> Column:
-    """(start, -end, kind, rank, label, confidence), sorted, of all places of the candidate rules; places are characters."""
+#: Steps of a running sum over arrays: more than a text can have words.
+_STEPS = [1 << k for k in range(30)]
 
-    def of_rule(rule: Column) -> Column:
-        found, rest = F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.split(norm, rule["pattern"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
 
-        def step(done: Column, pair: Column) -> Column:
-            begin = done["at"] + F.length(pair["rest"])
-            end = begin + F.length(pair["found"])
-            return F.struct(end.alias("at"), F.array_append(done["spans"], F.struct(begin.alias("start"), end.alias("end"))).alias("spans"))
+def _running(values: Column, finish) -> Column:
+    """``finish`` of the running sums of an array: each step adds what stands twice as far back as the last one
+    did, so that n values take n log n additions, and no array grows by one value at a time."""
 
-        spans = F.aggregate(F.arrays_zip(found.alias("found"), F.slice(rest, F.lit(1), F.size(found)).alias("rest")), start, step, lambda done: done["spans"])
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), rule["kind"].alias("kind"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+    def step(sums: Column, back: Column) -> Column:
+        return F.when(F.size(sums) > back, F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))).otherwise(sums)
 
-    return F.array_sort(F.flatten(F.transform(candidates, of_rule)))
+    return F.aggregate(F.array(*map(F.lit, _STEPS)), values, step, finish)
+
+
+_PIECES = "array<struct<pieces:array<string>,rule:int>>"
+
+
+def _pieces(norm: Column) -> tuple[Column, list[dict]]:
+    """Where rules whose keyword occurs match: the text in pieces, of which every second one is a match, by place of the rule in the list beside it. Patterns are
+    literals, so that each is compiled once."""
+    table, found, listed = rules(), [], []
+    keywords: dict[tuple[int, str], list[str]] = {}
+    families: dict[tuple[str, ...], list[dict]] = {}
+    for keyword, of in table.items():
+        for rule in of:
+            keywords.setdefault((rule["rank"], rule["pattern"]), []).append(keyword)
+    for keyword, of in table.items():
+        for rule in of:
+            some = keywords[rule["rank"], rule["pattern"]]
+            if keyword == some[0]:
+                families.setdefault(tuple(some), []).append(rule)
+    none = F.expr(f"cast(array() as {_PIECES})")
+    for some, of in sorted(families.items()):
+        present, cut = F.lit(False), []
+        for keyword in some:
+            present = present | F.contains(norm, F.lit(keyword))
+        for rule in of:
+            pieces = F.split(F.regexp_replace(norm, rule["pattern"], "\u0001$0\u0001"), "\u0001", -1)
+            cut.append(F.when(F.rlike(norm, F.lit(rule["pattern"])), F.struct(pieces.alias("pieces"), F.lit(len(listed)).alias("rule"))))
+            listed.append(rule)
+        found.append(F.when(present, F.array_compact(F.array(*cut))).otherwise(none))
+    return F.flatten(F.array(*found)), listed
+
+
+def _detections(norm: Column) -> Column:
+    """(start, -end, kind, rank, label, confidence), sorted, of all places of all rules; places are characters."""
+    cut, listed = _pieces(norm)
+    fixed = F.from_json(F.lit(json.dumps([{k: rule[k] for k in ("kind", "rank", "label", "confidence")} for rule in listed])), "array<struct<kind:int,rank:int,label:string,confidence:double>>")
+
+    def of_rule(match: Column) -> Column:
+        rule = F.get(fixed, match["rule"])
+
+        def spans(ends: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(ends) - 2, F.lit(2)), lambda i: F.struct(F.get(ends, i - 1).alias("start"), (-F.get(ends, i)).alias("minus_end"), *(rule[k].alias(k) for k in ("kind", "rank", "label", "confidence"))))
+
+        return _running(F.transform(match["pieces"], F.length), spans)
+
+    return F.array_sort(F.flatten(F.transform(cut, of_rule)))
 
 
 def _surviving(detections: Column) -> Column:
-    """Labels and best confidence of what is neither contained in another detection (of equal ones the
-    stronger kind stays) nor overlaps a stronger one that begins before it."""
-    none = F.struct(F.lit(-1).alias("end"), F.lit(99).alias("kind"), F.expr("cast(array() as array<string>)").alias("labels"), F.lit(0.0).alias("score"))
+    """Labels and best confidence of what survives, from one sweep over the sorted detections.
+
+    Containment first: what lies within another detection goes (of equal places the stronger kind stays, then
+    the rule that stands first). Then priority: of what is left, a detection that overlaps one of a stronger
+    kind goes, whichever begins first. ``open`` has those that later ones may still overlap: few, as none of them
+    contains another.
+    """
+    none = F.struct(
+        F.lit(-1).alias("end"), F.expr("cast(array() as array<struct<end:int,kind:int,label:string,confidence:double,lost:boolean>>)").alias("open"),
+        F.expr("cast(array() as array<string>)").alias("labels"), F.lit(0.0).alias("score"),
+    )
+
+    def settled(done: Column, over: Column) -> list[Column]:
+        labels = F.when(F.size(over) > 0, F.array_union(done["labels"], F.transform(over, lambda p: p["label"]))).otherwise(done["labels"])
+        return [labels.alias("labels"), F.greatest(done["score"], F.coalesce(F.array_max(F.transform(over, lambda p: p["confidence"])), F.lit(0.0))).alias("score")]
 
     def step(done: Column, d: Column) -> Column:
-        end = -d["minus_end"]
-        lost = (end <= done["end"]) | ((d["start"] < done["end"]) & (d["kind"] > done["kind"]))
-        kept = F.struct(end.alias("end"), d["kind"].alias("kind"), F.array_union(done["labels"], F.array(d["label"])).alias("labels"), F.greatest(done["score"], d["confidence"]).alias("score"))
-        return F.when(lost, done).otherwise(kept)
+        over = F.filter(done["open"], lambda p: (p["end"] <= d["start"]) & ~p["lost"])
+        near = F.filter(done["open"], lambda p: p["end"] > d["start"])
+        lost = F.exists(near, lambda p: p["kind"] < d["kind"])
+        own = F.struct((-d["minus_end"]).alias("end"), d["kind"].alias("kind"), d["label"].alias("label"), d["confidence"].alias("confidence"), lost.alias("lost"))
+        near = F.transform(near, lambda p: F.struct(p["end"].alias("end"), p["kind"].alias("kind"), p["label"].alias("label"), p["confidence"].alias("confidence"), (p["lost"] | (d["kind"] < p["kind"])).alias("lost")))
+        return F.when(-d["minus_end"] <= done["end"], done).otherwise(F.struct((-d["minus_end"]).alias("end"), F.concat(near, F.array(own)).alias("open"), *settled(done, over)))
 
-    return F.aggregate(detections, none, step, lambda done: F.struct(done["labels"].alias("labels"), done["score"].alias("score")))
+    return F.aggregate(detections, none, step, lambda done: F.struct(*settled(done, F.filter(done["open"], lambda p: ~p["lost"]))))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,14 +245,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_base``: places where the words of a phrase of ``PHRASES`` stand side by side, and the smallest and
     largest start of one, in words (null without any). ``labels``: those of the phrases and of the rules'
-    surviving detections, distinct, sorted, comma-joined (empty: none). ``score``: the confidence of the
-    best detection, at least 0.5 with a phrase, else 0. Null and empty texts have no words; repeated rows
-    are each scanned; other columns are not read. Everything happens within a row: no shuffle.
+    surviving detections (see ``_surviving``), distinct, sorted, comma-joined (empty: none). ``score``: the confidence of the
+    best detection, at least 0.5 with a phrase, else 0. Null and empty texts have no words; very long ones take
+    time in proportion to their length (but for a logarithm of the number of matches); repeated rows
+    are each scanned, an empty table gives no rows; other columns are not read. Everything happens within a row: no shuffle.
     """
-    table = rules()
-    kind = "array<struct<keyword:string,rules:array<struct<label:string,kind:int,rank:int,confidence:double,pattern:string>>>>"
-    families = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": r} for k, r in sorted(table.items())])), kind)
-
     rows = docs.select(F.col(id_col).alias("id"), F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _BETWEEN, " ")).alias("words"))
     rows = rows.withColumn("n_words", F.when(F.col("words") == "", F.lit(0).cast("long")).otherwise(_spaces(F.col("words")) + 1))
     # lower() also maps letters beyond ASCII, so it lets through more texts than the exact form, never fewer
@@ -219,8 +272,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         base.append(F.struct((F.size(rest) - 1).cast("long").alias("n"), (_spaces(rest[0]) - 1).alias("first"), last.alias("last"), F.lit(label).alias("label")))
     found = F.filter(F.array(*base), lambda b: b["n"] > 0)
     rows = rows.withColumn("base", F.when(present, found))
-    candidates = F.flatten(F.transform(F.filter(families, lambda f: F.contains(norm, f["keyword"])), lambda f: f["rules"]))
-    rows = rows.withColumn("more", F.when(present, _surviving(_detections(norm, candidates)))).drop("norm")
+    rows = rows.withColumn("more", F.when(present, _surviving(_detections(norm)))).drop("norm")
 
     nothing = F.expr("cast(array() as array<string>)")
     named = F.coalesce(F.transform("base", lambda b: b["label"]), nothing)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -302,6 +303,46 @@ def test_bare_abbreviations(spark):
     assert [r.labels for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()] == list(given.values())
 
 
+def plain_scan(text):
+    """Labels and score by trying every rule at every place and comparing all detections in pairs."""
+    w = LETTERS.findall((text or "").translate(LOWER))
+    norm, found, named = " " + " ".join(w) + " ", set(), set()
+    for keyword, of in licenses.rules().items():
+        if keyword in norm:
+            found |= {(m.start(), m.end(), r["kind"], r["rank"], r["label"], r["confidence"]) for r in of for m in re.finditer(r["pattern"], norm)}
+    within = lambda d, o: o[0] <= d[0] and d[1] <= o[1] and (o[:2] != d[:2] or o[2:] < d[2:])
+    outer = [d for d in found if not any(within(d, o) for o in found)]
+    left = [d for d in outer if not any(o[2] < d[2] and o[0] < d[1] and d[0] < o[1] for o in outer)]
+    for phrase, label in licenses.PHRASES:
+        if f" {phrase} " in norm:
+            named.add(label)
+    return ",".join(sorted(named | {d[4] for d in left})), max([0.5] * bool(named) + [d[5] for d in left], default=0.0)
+
+
+def test_labels_and_scores_agree_with_trying_all_rules(spark):
+    rng = np.random.default_rng(6)
+    parts = "the|mit|license|is|apache 2.0|licensed under|released under the|gnu|general public license|v3|version 2|cc by|nc 4.0|sa|all rights reserved|copyright 2019 2020|of|terms of use|bsd 3 clause|spdx license identifier|mozilla public|and|public domain|placed in the public domain|lesser|agpl|https www apache org licenses license 2 0|or later|permission".split("|")
+    texts = [" ".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(1500)]
+    texts += ["the mit license is apache 2.0", "the mit license is apache 2.0 license mit", *(r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '(?i)licen|rights reserved|cc by'").collect())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: plain_scan(t) for i, t in enumerate(texts)} and got[1500][0] == "apache-2.0"
+    assert sum(bool(labels) for labels, _ in got.values()) > 700
+
+
+@pytest.mark.parametrize("part", ["all rights reserved ", "licensed under the mit license is apache 2.0 all rights reserved ", "copyright 2001 "])
+def test_time_grows_with_the_matches(spark, part):
+    def took(size):
+        docs = spark.createDataFrame([(1, part * (size // len(part)))], "doc_id long, text string").coalesce(1)
+        frame, began = licenses.scan_licenses(docs), time.time()
+        assert frame.collect()[0].labels
+        return time.time() - began
+
+    took(1000)
+    times = [took(size) for size in (125_000, 250_000, 500_000, 1_000_000)]
+    assert times[-1] < 5 and times[-1] < 1 + 14 * times[0]
+
+
 def test_digest_of_items_is_of_sorted_strings(spark):
     out = {r.doc_id: r for r in registered.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     assert any(r.contaminated for r in out.values())
