@@ -106,17 +106,49 @@ def test_estimates_follow_similarity():
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7, 0.8, 0.85])
-def test_pairs_at_any_threshold_share_a_key(threshold):
+def test_pairs_at_any_threshold_share_enough_values(threshold):
     rng, n = np.random.default_rng(5), 1000
     common = round(n * 2 * threshold / (1 + threshold))
-    sketches = []
-    for _ in range(300):
+    shared = []
+    for _ in range(2000):
         pool = rng.integers(1, 1 << 63, 2 * n - common, dtype=np.uint64)
-        sketches += [np.sort(pool[:n])[: near_dedup.K], np.sort(pool[n - common :])[: near_dedup.K]]
-    keys, first = near_dedup.sketch_keys_of(sketches, near_dedup.taken(threshold))
-    of = [set(keys[a:b].tolist()) for a, b in zip(first, first[1:])]
-    assert all(a & b for a, b in zip(of[::2], of[1::2]))
-    assert near_dedup.missed(threshold, near_dedup.taken(threshold)) <= 1e-5 and near_dedup.taken(0.85) == 4
+        a, b = (np.sort(s)[: near_dedup.LISTED] for s in (pool[:n], pool[n - common :]))
+        shared.append(len(np.intersect1d(a, b)))
+    assert min(shared) >= near_dedup.common_values(threshold) and near_dedup.common_values(0.85) == 17
+
+
+def forms(n, length=100, seed=3):
+    """Texts of one form with three variable words, 50 of each place: many pairs, of which few are alike."""
+    rng = np.random.default_rng(seed)
+    base = [f"form{i}" for i in range(length)]
+    for k in range(n):
+        words = list(base)
+        for place, at in enumerate((length // 6, length // 2, 5 * length // 6)):
+            words[at] = f"s{place}x{rng.integers(50)}"
+        yield k, " ".join(words)
+
+
+@pytest.mark.parametrize("length", [70, 100, 140])
+def test_forms_are_linked_as_all_pairs_are(spark, length):
+    rows = list(forms(900, length))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_pairs_to_verify_grow_with_the_forms(spark, monkeypatch):
+    verified, plain = [], near_dedup.similar_links
+
+    def counted(sets, pairs, threshold):
+        verified[-1] += pairs.count()
+        return plain(sets, pairs, threshold)
+
+    monkeypatch.setattr(near_dedup, "similar_links", counted)
+    sizes = (4000, 16_000)
+    for n in sizes:
+        verified.append(0)
+        near_dedup.near_duplicates(spark.createDataFrame(list(forms(n)), "doc_id long, text string")).count()
+    # four times the documents have sixteen times the links
+    assert verified[1] < 4.6 * verified[0] and all(v < 4 * n for v, n in zip(verified, sizes))
 
 
 def test_components_of_chains_stars_and_loops(spark):
