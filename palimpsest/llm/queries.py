@@ -39,7 +39,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = toxicity.learn_toxicity(docs, _table(spark, sf_dir, "labels"), train=_remainder("doc_id", 4) != 2)
     out = toxicity.score_toxicity(docs, index)
-    return out.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

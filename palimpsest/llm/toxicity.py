@@ -50,15 +50,22 @@ def term_counts(texts: Texts, vocabulary: np.ndarray | None = None) -> tuple[np.
     return row[first], h[first], np.diff(np.concatenate([first, [len(h)]]))
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges from ``low`` to ``high``, one after another, and the range that each is in."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (low - np.concatenate([[0], np.cumsum(n)[:-1]]))[of], of
+
+
 class NearestExamples:
     """Labelled examples behind a block-max inverted index.
 
     ``vocabulary`` has sorted terms, of which ``df`` is the document frequency; ``rows``, ``columns`` and
     ``counts`` tell how often example ``rows[i]`` has term ``columns[i]``. Vectors are (1 + log tf) * idf, of
-    length 1. Postings of a term lie in order of examples;
-    examples are sorted by vector, so that a block of ``block`` holds alike ones, and each term keeps its
-    largest weight by block. The blocks with the highest bounds are scored first; of the others, those whose
-    bound reaches the k-th best cosine: the answer is exact. A text without a vocabulary term is answered by the examples without one.
+    length 1. Examples are sorted by vector, so that a block of ``block`` holds alike ones. Postings lie by term and
+    example; an entry is a term's run of postings within a block, with the largest weight in it. The blocks with the highest bounds are scored first; of the others, those whose
+    bound reaches the k-th best cosine: the answer is exact. All is in proportion to the postings, whatever the number of terms.
+    A text without a vocabulary term is answered by the examples without one.
     """
 
     def __init__(self, vocabulary: np.ndarray, df: np.ndarray, rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, k: int = 25, block: int = 64, prior: float = 1.0):
@@ -83,15 +90,15 @@ class NearestExamples:
         place = np.full(n, -1)
         place[sort] = np.arange(len(sort))
         self.labels, self.ids = labels[sort].astype(float), [ids[i] for i in sort]
-        self.block = block
-        blocks = -(-len(sort) // block)
-        self.blockmax = np.zeros((blocks, len(self.vocabulary)), dtype=np.float32)
-        np.maximum.at(self.blockmax, (place[rows] // block, columns), weights.astype(np.float32) * np.float32(1 + 1e-6))
+        self.block, self.blocks = block, -(-len(sort) // block)
         order = np.lexsort((place[rows], columns))
-        self.posting_example, self.posting_weight = place[rows][order], weights[order]
-        # where each term's postings of each block begin
-        key = columns[order] * (blocks + 1) + self.posting_example // block
-        self.block_first = np.searchsorted(key, np.arange(len(self.vocabulary))[:, None] * (blocks + 1) + np.arange(blocks + 1))
+        self.posting_example, self.posting_weight = place[rows][order].astype(np.int32), weights[order]
+        key = columns[order] * (self.blocks + 1) + self.posting_example // block
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.entry_first = np.concatenate([first, [len(key)]])
+        self.entry_block = (key[first] % (self.blocks + 1)).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.posting_weight, first) * (1 + 1e-9) if len(first) else np.zeros(0)
+        self.term_first = np.searchsorted(key[first] // (self.blocks + 1), np.arange(len(vocabulary) + 1))
         self.first_blocks = max(1, 2 * k // block + 2)
         self.steps = (np.zeros(0), np.zeros(0))
         self._calibrate(rows, columns, weights, place, n, labels)
@@ -102,39 +109,34 @@ class NearestExamples:
     def nearest(self, columns: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the ``k`` nearest with a cosine above 0 (``but`` is left out); of equal
         cosines, the earlier examples. ``weights`` have length 1."""
-        bound = self.blockmax[:, columns] @ weights
+        entries, of = _ranges(self.term_first[columns], self.term_first[columns + 1])
+        mine, block = weights[of], self.entry_block[entries]
+        bound = np.bincount(block, weights=self.entry_max[entries] * mine, minlength=self.blocks)
         some = min(self.first_blocks, len(bound))
-        best = np.argpartition(-bound, some - 1)[:some] if some else np.zeros(0, np.int64)
-        found, cosines = self._scored(best, columns, weights, but)
+        best = np.zeros(len(bound), bool)
+        if some:
+            best[np.argpartition(-bound, some - 1)[:some]] = True
+        found, cosines = self._scored(entries, mine, best[block], but)
         # what the best blocks hold sets the mark that the bound of any other has to reach
         mark = np.partition(cosines, -self.k)[-self.k] if len(cosines) >= self.k else 0.0
-        open_ = bound * (1 + 1e-6) >= max(mark, 1e-12)
-        open_[best] = False
-        more, their = self._scored(np.flatnonzero(open_), columns, weights, but)
-        found, cosines = np.concatenate([found, more]), np.concatenate([cosines, their])
+        open_ = (bound * (1 + 1e-9) >= max(mark, 1e-12)) & ~best
+        if open_.any():
+            more, their = self._scored(entries, mine, open_[block], but)
+            found, cosines = np.concatenate([found, more]), np.concatenate([cosines, their])
         if len(found) > self.k:
             reach = cosines >= np.partition(cosines, -self.k)[-self.k] - 1e-12
             found, cosines = found[reach], cosines[reach]
         order = np.lexsort((found, -np.round(cosines, 12)))[: self.k]
         return found[order], cosines[order]
 
-    def _scored(self, blocks: np.ndarray, columns: np.ndarray, weights: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of ``blocks`` with a cosine above 0, from the postings of ``columns`` in them."""
-        if not len(blocks):
-            return np.zeros(0, np.int64), np.zeros(0)
-        low, high = self.block_first[np.ix_(columns, blocks)].ravel(), self.block_first[np.ix_(columns, blocks + 1)].ravel()
-        n = high - low
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
-        place = np.full(len(self.blockmax), -1)
-        place[blocks] = np.arange(len(blocks))
-        example = self.posting_example[at]
-        slot = place[example // self.block] * self.block + example % self.block
-        score = np.bincount(slot, weights=self.posting_weight[at] * np.repeat(np.repeat(weights, len(blocks)), n), minlength=len(blocks) * self.block)
+    def _scored(self, entries: np.ndarray, weights: np.ndarray, chosen: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples with a cosine above 0, from the postings of the ``chosen`` entries."""
+        entries, weights = entries[chosen], weights[chosen]
+        at, of = _ranges(self.entry_first[entries], self.entry_first[entries + 1])
+        score = np.bincount(self.posting_example[at], weights=self.posting_weight[at] * weights[of])
         hit = np.flatnonzero(score > 0)
-        example = blocks[hit // self.block] * self.block + hit % self.block
-        ok = example != but
-        return example[ok], score[hit][ok]
+        hit = hit[hit != but]
+        return hit, score[hit]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1, each example weighted by the inverse of its distance, with the overall rate
@@ -216,10 +218,14 @@ def choose_terms(sample: DataFrame, min_df: int, strength: float, columns: tuple
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, min_df: int = 5, strength: float = 2.3, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
     """The index over a sample of at most ``rows`` labelled documents (those with the smallest hash of the
-    id). Executors choose the vocabulary (see ``choose_terms``) and count its terms; the driver gets the
-    chosen terms, at most as many as ``rows``, and their counts in the sample."""
+    id). Executors choose the vocabulary (see ``choose_terms``), all terms that pass, and count them; the driver
+    gets these terms and their counts in the sample, which bounds both.
+
+    Of several labels of an id the largest counts; repeated rows of a labelled id are an example each. Null labels and ids are left out, null and
+    empty texts are examples without terms; very long texts are taken whole. Without labelled rows all texts score
+    one half. Other columns are not read."""
     sample = stored(labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col), "sample")
-    chosen = choose_terms(sample, min_df, strength).orderBy(F.desc("df"), "term").limit(rows).toArrow()
+    chosen = choose_terms(sample, min_df, strength).toArrow()
     terms, df = chosen["term"].to_numpy().view(np.uint64), chosen["df"].to_numpy()
     order = np.argsort(terms)
     vocabulary, df = terms[order], df[order]
@@ -249,7 +255,7 @@ def score_toxicity(docs: DataFrame, index: NearestExamples, id_col: str = "doc_i
     structs of id, cosine and label.
 
     Null and empty texts, and texts without a term of the vocabulary, have the rate of label 1 among such
-    examples and no evidence. Repeated rows are each scored; other columns are not read. The broadcast
+    examples and no evidence. Very long texts are taken whole; of equal cosines the examples that stand first in the index count; an empty table gives no rows. Repeated rows are each scored; other columns are not read. The broadcast
     index is bounded by the sample it was learned from.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)

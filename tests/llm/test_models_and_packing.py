@@ -1,8 +1,10 @@
 """Classifiers, packing, archives, extraction."""
 
 import base64
+import collections
 import hashlib
 import html
+import math
 import re
 import struct
 import time
@@ -79,8 +81,7 @@ def brute(index, columns, weights, k):
     n = len(index.labels)
     scores = np.zeros(n)
     for c, w in zip(columns, weights):
-        first = int(index.block_first[c, 0])
-        last = int(index.block_first[c, -1])
+        first, last = index.entry_first[index.term_first[c]], index.entry_first[index.term_first[c + 1]]
         scores[index.posting_example[first:last]] += index.posting_weight[first:last] * w
     order = np.lexsort((np.arange(n), -np.round(scores, 12)))[:k]
     return order[scores[order] > 0], scores[order][scores[order] > 0]
@@ -103,6 +104,52 @@ def test_block_bounds_lose_no_neighbour():
         assert np.allclose(got[1], want[1]) and got[0].tolist() == want[0].tolist()
 
 
+def plain_terms(text):
+    """How often each term of a text occurs: words and beginnings of longer words, by bytes."""
+    found = collections.Counter()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        found[0, word] += 1
+        for n in toxicity.PREFIXES:
+            if len(word) > n:
+                found[n, word[:n]] += 1
+    return found
+
+
+def plain_neighbours(examples, texts, min_df, strength, k):
+    """Cosines of the nearest examples of each text, from the texts alone: dictionaries, and every example is compared."""
+    bags, n, n1 = [plain_terms(t) for t, _ in examples], len(examples), sum(y for _, y in examples)
+    df, df1 = collections.Counter(t for b in bags for t in b), collections.Counter(t for b, (_, y) in zip(bags, examples) for t in b if y)
+    log_likelihood = lambda k, of, p: (k * math.log(p) if k else 0) + ((of - k) * math.log(1 - p) if k < of else 0)
+    kept = set()
+    for t, d in df.items():
+        a, b, p = df1[t], d - df1[t], d / n
+        ratio = 2 * (log_likelihood(a, n1, a / n1) + log_likelihood(b, n - n1, b / (n - n1)) - log_likelihood(a, n1, p) - log_likelihood(b, n - n1, p))
+        if d >= min_df and ratio >= strength * math.log(n):
+            kept.add(t)
+
+    def vector(bag):
+        v = {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in bag.items() if t in kept}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(b) for b in bags]
+    for text in texts:
+        q = vector(plain_terms(text))
+        yield sorted((c for c in (sum(x * v.get(t, 0) for t, x in q.items()) for v in vectors) if c > 0), reverse=True)[:k]
+
+
+def test_neighbours_are_those_of_a_plain_tf_idf(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    rows = docs.join(labels, "doc_id").where("toxic is not null").orderBy("doc_id").limit(300).collect()
+    index = toxicity.learn_toxicity(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), labels, min_df=3, strength=0.7)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(120).collect()]
+    want = list(plain_neighbours([(r.text, r.toxic) for r in rows], texts, 3, 0.7, 5))
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), index).orderBy("doc_id").collect()
+    assert len(rows) == 300 and sum(bool(w) for w in want) > 40
+    for r, w in zip(got, want):
+        assert [e.cosine for e in r.evidence] == pytest.approx(w)
+
+
 def test_toxicity_of_odd_texts(spark):
     index = toxicity.learn_toxicity(table(spark, "documents"), table(spark, "labels"))
     out = toxicity.score_toxicity(odd(spark), index).toPandas()
