@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LETTERED, Texts, mix, pieces, row_sums, span_hashes, words
+from .runtime import stored
+from .words import LETTERED, Texts, mix, pieces, span_hashes, words
 
 U64 = np.uint64
 #: Byte classes: 0 white space and controls, 1 letters, digits and all beyond ASCII, 2 punctuation.
@@ -68,14 +69,13 @@ def features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Ftrl:
     """FTRL-proximal logistic regression; the value of a feature is its share of the text's occurrences
-    times ``scale``."""
+    times ``scale``. The bias is learned alike, without regularisation."""
 
     def __init__(self, bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, scale: float = 8.0):
         self.bits, self.alpha, self.beta, self.l1, self.l2, self.scale = bits, alpha, beta, l1, l2, scale
         self.z = np.zeros(1 << bits)
         self.n = np.zeros(1 << bits)
-        self.bias = 0.0
-        self.bias_n = 0.0
+        self.bias = self.bias_z = self.bias_n = 0.0
 
     def _weights(self, i: np.ndarray) -> np.ndarray:
         z = self.z[i]
@@ -87,8 +87,9 @@ class Ftrl:
         step = g * x
         self.z[i] += step - (np.sqrt(self.n[i] + step**2) - np.sqrt(self.n[i])) / self.alpha * w
         self.n[i] += step**2
+        self.bias_z += g - (np.sqrt(self.bias_n + g * g) - np.sqrt(self.bias_n)) / self.alpha * self.bias
         self.bias_n += g * g
-        self.bias -= self.alpha * g / (1 + np.sqrt(self.bias_n))
+        self.bias = -self.bias_z * self.alpha / (self.beta + np.sqrt(self.bias_n))
 
     def fit(self, examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, seed: int = 7) -> "Ftrl":
         order = np.random.default_rng(seed)
@@ -110,25 +111,46 @@ def score_texts(texts: Texts, model: tuple[np.ndarray, float, float, int]) -> np
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, label`` of at most ``rows`` labelled documents: those with the smallest hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, rows: int, id_col: str = "doc_id", text_col: str = "text", cost: F.Column | None = None, most: int = 0) -> DataFrame:
+    """``id, text, label`` of at most ``rows`` labelled documents: those with the smallest hash of the id. With
+    ``cost`` (of the column ``text``), only the first of them in that order, as far as their costs together do not exceed ``most``
+    (one at least).
 
     ``train`` is a condition on ``id_col``. Null ids and labels are left out; of several labels of an id
-    the largest counts. The ids (bounded by ``rows``) are broadcast, so that the documents aren't shuffled.
+    the largest counts. The ids (bounded by ``rows``) are broadcast, so that the documents aren't shuffled, and the
+    sample is written to the shared folder.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & train).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
     space = 1 << 31
     chosen = chosen.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(space)))
     # of many labels, those with a hash twice as large as the sample takes need not be sorted
     chosen = chosen.where(F.col("h") < min(space, -(-2 * rows * space // max(1, chosen.count())))).orderBy("h", "id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "label")), "id").select("id", "text", "label")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    sample = stored(sample.select("id", "text", "label", "h"), "sample")
+    if cost is not None:
+        total = 0
+        for n, r in enumerate(sample.groupBy("h", "id").agg(F.sum(cost).alias("cost")).orderBy("h", "id").collect()):  # a row for each of the sample's ids
+            total += r.cost or 0
+            if n and total > most:
+                sample = sample.where((F.col("h") < r.h) | ((F.col("h") == r.h) & (F.col("id") < r.id)))
+                break
+    return sample.drop("h")
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None, rows: int = 12_000, bits: int = 18, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, int]:
-    """The model from a sample of at most ``rows`` labelled documents. Executors make features, one task
-    runs the updates over those of the sample in order of ids, and the driver gets the weights. Without
-    rows it predicts 0.5."""
-    sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col)
+#: Bytes of features that the training task may hold: 8 for each bucket of a text, about twice its bytes.
+FEATURE_BYTES = 256 << 20
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None, rows: int = 12_000, bits: int = 18, epochs: int = 3, feature_bytes: int = FEATURE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, int]:
+    """The model from a sample of at most ``rows`` labelled documents, with about ``feature_bytes`` of features at most. Executors make features, one task
+    runs the updates over those of the sample in order of ids, and the driver gets the weights.
+
+    Of several labels of an id the largest counts, and repeated rows of it are an example each; null ids and labels are left out. Null and empty
+    texts have one feature of their own; very long ones are taken whole, with 8 bytes for each of their
+    buckets (2 MB at most). Without labelled rows the model predicts 0.5. Other columns are not read.
+    """
+    cost = F.least(2 * F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(8 << bits)).cast("long")
+    sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col, cost, feature_bytes)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,24 +165,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["id", "label", "i", "n"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(bits=bits)
-        parts = list(batches)
-        sample = pa.Table.from_batches(parts) if parts else None
-        order = np.random.default_rng(7)
-        if sample is not None:
-            ids, counts = (sample[c].combine_chunks() for c in ("i", "n"))  # one buffer each, no object a row
-            first = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] // 4
-            ids, counts = (np.frombuffer(x.buffers()[2], "<i4") for x in (ids, counts))
-            labels = (sample["label"].to_numpy() > 0).astype(int)
-            for _ in range(epochs):
-                for k in order.permutation(len(labels)):
-                    a, b = first[k], first[k + 1]
-                    model.learn(ids[a:b], counts[a:b] / counts[a:b].sum() * model.scale, labels[k])
+        model, examples, order = Ftrl(bits=bits), [], np.random.default_rng(7)
+        for batch in batches:  # views of the batches' buffers, of which none is copied or joined with others
+            labels = batch.column(1).to_pylist()
+            for y, ids, counts in zip(labels, batch.column(2), batch.column(3)):
+                examples.append((np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(counts.as_buffer(), "<i4"), int(y > 0)))
+        for _ in range(epochs):
+            for k in order.permutation(len(examples)):
+                ids, counts, y = examples[k]
+                model.learn(ids, counts / counts.sum() * model.scale, y)
         weights, bias, *_ = model.model()
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = sample.mapInArrow(featurise, f"id {kind}, label int, i binary, n binary").repartition(1).sortWithinPartitions("id", "i")
+    made = sample.mapInArrow(featurise, f"id {kind}, label int, i binary, n binary").repartition(1).sortWithinPartitions("id", "i", "n", "label")
     got = made.mapInArrow(fit, "weights binary, bias double").collect()
     if not got:
         return Ftrl(bits=bits).model()
@@ -170,8 +188,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` of each row of ``docs``: the probability of label 1, from the whole text alone.
 
-    Null and empty texts have the score of a text without tokens; repeated rows are each scored; other
-    columns are not read. The broadcast model has a fixed size (2 ** bits weights).
+    Null and empty texts have the score of a text without tokens; very long ones are scored whole; repeated rows are each scored; an
+    empty table gives no rows; other columns are not read. The broadcast model has a fixed size (2 ** bits weights).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -186,7 +204,8 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float, int],
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", source: DataFrame | None = None, **training) -> DataFrame:
     """The rows of ``docs``, with the same columns, that score ``threshold`` or more. ``source`` has the
-    texts of the labelled rows, where that isn't ``docs``."""
+    texts of the labelled rows, where that isn't ``docs``. Null, empty and very long texts, repeated rows and empty tables: see
+    ``score_quality``; a score that equals the threshold stays."""
     shared = docs.sparkSession.sparkContext.broadcast(train_quality(docs if source is None else source, labels, text_col=text_col, **training))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

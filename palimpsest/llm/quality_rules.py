@@ -49,6 +49,8 @@ FEATURES = {
 }
 #: Staying with a label against changing it.
 STAY = 1.0
+#: Texts with more lines are decoded one by one, and training cuts their lines into sequences of as many.
+_LONG = 500
 
 
 class Lines:
@@ -154,6 +156,38 @@ class LineCrf:
     def decode(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Viterbi: the labels of the most likely sequence of each text; ties go to content."""
         e = x @ self.weights
+        long = lengths > _LONG
+        if long.any():  # one by one; the others step by step, all at once
+            labels, first = np.zeros(len(e), np.int8), np.concatenate([[0], np.cumsum(lengths)])
+            rest = np.repeat(~long, lengths)
+            labels[rest] = self._decode(e[rest], lengths[~long])
+            for k in np.flatnonzero(long):
+                labels[first[k] : first[k + 1]] = self._decode_one(e[first[k] : first[k + 1]].tolist())
+            return labels
+        return self._decode(e, lengths)
+
+    def _decode_one(self, e: list[float]) -> np.ndarray:
+        """``decode`` of one sequence, in plain numbers: quicker where no other has as many lines."""
+        stay, best0, best1 = self.stay, 0.0, e[0]
+        back = bytearray(2 * len(e))
+        for t in range(1, len(e)):
+            keep0, keep1 = best0 + stay, best1 + stay
+            if best1 > keep0:
+                back[2 * t], to0 = 1, best1
+            else:
+                to0 = keep0
+            if keep1 > best0:
+                back[2 * t + 1], best1 = 1, keep1 + e[t]
+            else:
+                best1 = best0 + e[t]
+            best0 = to0
+        labels, k = np.zeros(len(e), np.int8), int(best1 > best0)
+        for t in range(len(e) - 1, -1, -1):
+            labels[t] = k
+            k = back[2 * t + k]
+        return labels
+
+    def _decode(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         _, steps = self._steps(lengths)
         labels, back = np.zeros(len(e), np.int8), np.zeros((len(e), 2), np.int8)
         ends = np.zeros((len(lengths), 2))
@@ -177,24 +211,27 @@ class LineCrf:
             labels[at] = k[: len(at)]
         return labels
 
-    def fit(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = 80, rate: float = 0.3, pull: float = 0.01) -> "LineCrf":
+    def fit(self, codes: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = 80, rate: float = 0.3, pull: float = 0.01) -> "LineCrf":
         """Likelihood ascent with forward-backward marginals; ``pull`` draws the weights to the rules, so
-        that features no line shows keep the rule's weight."""
+        that features no line shows keep the rule's weight. ``codes`` has the features of each line as bits (see ``coded``): the
+        distinct ones, of which there are few, stand for all lines that show them."""
         if not len(y):
             return self
-        order, steps = self._steps(lengths)
+        of, code = np.unique(codes, return_inverse=True)
+        shown = (of[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
+        _, steps = self._steps(lengths)
         theta = np.append(self.weights, self.stay)
         prior = np.append(self.rules, STAY)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         pairs = sum(len(at) for at in steps[1:])
         kept = sum(float((y[a[: len(b)]] == y[b]).sum()) for a, b in zip(steps, steps[1:]))
-        target = np.append(x.T @ y, kept)
+        target = np.append(shown.T @ np.bincount(code, weights=y, minlength=len(of)), kept)
         for r in range(1, rounds + 1):
-            e, s = x @ theta[:-1], np.exp(np.clip(theta[-1], -20, 20))
-            emit = np.stack([1 / (1 + np.exp(np.clip(e, -30, 30))), 1 / (1 + np.exp(-np.clip(e, -30, 30)))], axis=1)
-            alpha, beta = np.zeros((len(e), 2)), np.ones((len(e), 2))
+            e, s = np.clip(shown @ theta[:-1], -30, 30), np.exp(np.clip(theta[-1], -20, 20))
+            emits = np.stack([1 / (1 + np.exp(e)), 1 / (1 + np.exp(-e))], axis=1)
+            alpha, beta = np.zeros((len(y), 2)), np.ones((len(y), 2))
             for t, at in enumerate(steps):
-                a = emit[at]
+                a = emits[code[at]]
                 if t:
                     prev = alpha[steps[t - 1][: len(at)]]
                     a = a * (prev * s + prev[:, ::-1])
@@ -202,47 +239,55 @@ class LineCrf:
             same = 0.0
             for t in range(len(steps) - 1, 0, -1):
                 at, before = steps[t], steps[t - 1][: len(steps[t])]
-                b = emit[at] * beta[at]
+                b = emits[code[at]] * beta[at]
                 out = b * s + b[:, ::-1]
                 stay = (alpha[before] * b * s).sum(axis=1)
                 same += float((stay / (alpha[before] * out).sum(axis=1)).sum())
                 beta[before] = out / out.sum(axis=1, keepdims=True)
             p = alpha * beta
             p = p[:, 1] / p.sum(axis=1)
-            gradient = (target - np.append(x.T @ p, same)) / max(1, len(y)) - pull * (theta - prior) / 10
+            gradient = (target - np.append(shown.T @ np.bincount(code, weights=p, minlength=len(of)), same)) / max(1, len(y)) - pull * (theta - prior) / 10
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
         self.weights, self.stay = theta[:-1], float(theta[-1]) if pairs else STAY
         return self
 
 
-def train_lines(docs: DataFrame, labels: DataFrame | None, label: str = "quality", rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> LineCrf:
-    """The CRF from at most ``rows`` labelled documents: all lines of one of low quality count as
-    boilerplate, those of others as content. The driver gets the sample's line features alone. Without
-    labelled rows of both kinds the rule weights stand."""
+def coded(x: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 as the bits of a number each."""
+    return (x.astype(np.uint16) << np.arange(len(FEATURES), dtype=np.uint16)).sum(axis=1, dtype=np.uint16)
+
+
+def train_lines(docs: DataFrame, labels: DataFrame | None, label: str = "quality", rows: int = 4_000, lines: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> LineCrf:
+    """The CRF from at most ``rows`` labelled documents with at most ``lines`` lines together (of the first, all): all lines of one of low quality count as
+    boilerplate, those of others as content; a document of over 500 lines is several sequences. The driver gets two bytes for each line of the sample. Without
+    labelled rows of both kinds the rule weights stand.
+
+    Of several labels of an id the largest counts, and repeated rows of it count each; null ids and labels are left out; null and empty texts
+    have no lines; very long texts are read whole. Other columns are not read.
+    """
     if labels is None:
         return LineCrf()
-    sample = labelled_sample(docs, labels, label, F.lit(True), rows, id_col, text_col)
+    cost = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    sample = labelled_sample(docs, labels, label, F.lit(True), rows, id_col, text_col, cost, lines)
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in pieces(batch.column(1)):
                 found = Lines(texts)
-                x, row = np.packbits(found.features(), axis=1), found.row[found.used]
+                x, row = coded(found.features()), found.row[found.used]
                 first = np.searchsorted(row, np.arange(len(texts) + 1))
                 part = batch.slice(texts.low, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([x[a:b].astype("<u2").tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "label", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(lines, f"id {kind}, label int, x binary").toArrow().sort_by([("id", "ascending")])
-    width = -(-len(FEATURES) // 8)
-    xs = [np.unpackbits(np.frombuffer(b, np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)] for b in got["x"].to_pylist()]
-    ys = [np.full(len(x), float(y <= 0)) for x, y in zip(xs, got["label"].to_pylist())]
-    lengths = np.array([len(x) for x in xs if len(x)], dtype=np.int64)
-    y = np.concatenate([np.zeros(0), *ys])
+    got = sample.mapInArrow(read, f"id {kind}, label int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    codes = [np.frombuffer(b, "<u2") for b in got["x"].to_pylist()]
+    y = np.repeat(np.array([float(y <= 0) for y in got["label"].to_pylist()]), [len(x) for x in codes])
     if not 0 < y.sum() < len(y):
         return LineCrf()
-    return LineCrf().fit(np.concatenate(xs).astype(np.float64), y, lengths)
+    lengths = np.array([min(_LONG, len(x) - at) for x in codes for at in range(0, len(x), _LONG)], dtype=np.int64)
+    return LineCrf().fit(np.concatenate(codes), y, lengths)
 
 
 def judge(texts: Texts, crf: LineCrf, share: float) -> dict[str, np.ndarray]:
@@ -266,8 +311,8 @@ def apply_rules(docs: DataFrame, crf: LineCrf, share: float = 0.5, id_col: str =
     """``id_col`` and counts of each row of ``docs``, the share of its words in lines that Viterbi decoding
     labels content, and the verdict: ``kept`` unless ``base_failed`` or the share is below ``share``.
 
-    Null texts have no words, so they fail the base rules like all under 20 words. Repeated rows are each
-    judged; other columns are not read.
+    Null and empty texts have no words, so they fail the base rules like all under 20 words. Very long texts are judged
+    whole; equally likely labels of a line go to content; repeated rows are each judged; an empty table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -283,7 +328,8 @@ def apply_rules(docs: DataFrame, crf: LineCrf, share: float = 0.5, id_col: str =
 
 
 def filter_rules(docs: DataFrame, crf: LineCrf, share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with the same columns, that ``apply_rules`` keeps."""
+    """The rows of ``docs``, with the same columns, that ``apply_rules`` keeps (see there for null, empty and very long
+    texts, ties and repeated rows; an empty table stays empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import labelled_sample
-from .runtime import stored
 from .words import LETTERED, Texts, pieces, span_hashes, words
 
 
@@ -216,15 +215,15 @@ def choose_terms(sample: DataFrame, min_df: int, strength: float, columns: tuple
     return of.where(ratio >= strength * float(np.log(max(2, total)))).select("term", "df")
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, min_df: int = 5, strength: float = 2.3, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, text_bytes: int = 256 << 20, min_df: int = 5, strength: float = 2.3, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
     """The index over a sample of at most ``rows`` labelled documents (those with the smallest hash of the
-    id). Executors choose the vocabulary (see ``choose_terms``), all terms that pass, and count them; the driver
+    id), with ``text_bytes`` of text at most. Executors choose the vocabulary (see ``choose_terms``), all terms that pass, and count them; the driver
     gets these terms and their counts in the sample, which bounds both.
 
     Of several labels of an id the largest counts; repeated rows of a labelled id are an example each. Null labels and ids are left out, null and
     empty texts are examples without terms; very long texts are taken whole. Without labelled rows all texts score
     one half. Other columns are not read."""
-    sample = stored(labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col), "sample")
+    sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, rows, id_col, text_col, F.octet_length("text").cast("long"), text_bytes)
     chosen = choose_terms(sample, min_df, strength).toArrow()
     terms, df = chosen["term"].to_numpy().view(np.uint64), chosen["df"].to_numpy()
     order = np.argsort(terms)
@@ -241,7 +240,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tra
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cut(column), cut(n)], names=["id", "label", "columns", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(count, f"id {kind}, label int, columns binary, counts binary").toArrow().sort_by([("id", "ascending")])
+    got = sample.mapInArrow(count, f"id {kind}, label int, columns binary, counts binary").toArrow().sort_by([("id", "ascending"), ("columns", "ascending"), ("counts", "ascending"), ("label", "ascending")])
     columns = [np.frombuffer(x, "<i4") for x in got["columns"].to_pylist()]
     counts = [np.frombuffer(x, "<i4") for x in got["counts"].to_pylist()]
     rows_of = np.repeat(np.arange(len(columns)), [len(t) for t in columns])

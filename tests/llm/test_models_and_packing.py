@@ -13,11 +13,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 
-from palimpsest.llm import extraction, ftrl, packing, toxicity, warc
+from palimpsest.llm import extraction, ftrl, packing, quality_rules, toxicity, warc
 from palimpsest.llm import queries as registered
+from palimpsest.llm.words import pieces
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,6 +59,72 @@ def test_quality_of_odd_texts(spark):
     assert ftrl.filter_quality(table(spark, "documents"), table(spark, "labels")).columns == table(spark, "documents").columns
 
 
+def plain_ftrl(examples, epochs, alpha, beta, l1, l2, seed=7):
+    """The updates as they are written down, one number at a time; the bias is a feature of value 1 without penalties."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)):
+            x, y = examples[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_training_agrees_with_plain_updates(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    rows = docs.join(labels, "doc_id").where("quality is not null").orderBy("doc_id").limit(200).collect()
+    few = docs.where(docs.doc_id.isin([r.doc_id for r in rows]))
+    weights, bias, scale, bits = ftrl.train_quality(few, labels, epochs=2)
+    default, examples = ftrl.Ftrl(), []
+    for r in rows:
+        (texts,) = pieces(pa.array([r.text]), 1 << 30)
+        found = collections.Counter(ftrl.features(texts, bits)[0].tolist())
+        total = sum(found.values())
+        examples.append(({i: c / total * scale for i, c in found.items()} | {"bias": 1.0}, int(r.quality > 0)))
+    weight = plain_ftrl(examples, 2, default.alpha, default.beta, default.l1, default.l2)
+    assert bias == pytest.approx(weight("bias")) and len(rows) == 200
+    seen = sorted({i for x, _ in examples for i in x if i != "bias"})
+    assert weights[seen] == pytest.approx([weight(i) for i in seen], abs=1e-6) and np.count_nonzero(weights) == np.count_nonzero(weights[seen])
+    got = {r.doc_id: r.score for r in ftrl.score_quality(few, (weights, bias, scale, bits)).collect()}
+    for r, (x, _) in zip(rows, examples):
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()))), abs=1e-4)
+
+
+def test_features_are_those_of_equal_tokens():
+    (texts,) = pieces(pa.array(["The cat, the CAT -- the end", "", "cat end"]))
+    i, first = ftrl.features(texts, 30)
+    tokens = ["the", "cat", ",", "the", "cat", "--", "the", "end"]
+    grams = i[first[0] : first[1]].reshape(-1, 5)
+    for a in range(8):
+        for b in range(8):
+            assert (grams[a, 0] == grams[b, 0]) == (tokens[a] == tokens[b])
+            assert a == 7 or b == 7 or (grams[a, 2] == grams[b, 2]) == (tokens[a : a + 2] == tokens[b : b + 2])
+    assert i[first[1] : first[2]].tolist() == [0] and i[first[2] : first[3]].reshape(-1, 5)[:, 0].tolist() == [grams[1, 0], grams[7, 0]]
+
+
+def test_fits_take_long_texts(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "repeat(concat(if(id % 2 = 0, 'Plain words of a text', 'BUY! NOW! ###'), id, char(10)), 200000) as text").repartition(10)
+    labels = spark.range(50).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    assert docs.selectExpr("min(length(text))").first()[0] > 2_500_000
+    model = ftrl.train_quality(docs, labels, epochs=1)
+    assert ftrl.train_quality(docs, labels, epochs=1, feature_bytes=1)[0].any() and np.isfinite(model[0]).all()
+    crf = quality_rules.train_lines(docs, labels)
+    judged = quality_rules.apply_rules(docs.limit(4), crf).collect()
+    assert np.isfinite(crf.weights).all() and all(r.base_failed == (100 * r.n_repeat_words > 30 * r.n_words) for r in judged)
+    assert len(toxicity.learn_toxicity(docs, labels, text_bytes=10 << 20).labels) < 10
+
+
 def test_ftrl_keeps_useless_features_at_zero():
     rng = np.random.default_rng(0)
     rows = []

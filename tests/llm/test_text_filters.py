@@ -191,6 +191,15 @@ def test_viterbi_finds_the_best_sequence():
         at += n
 
 
+def test_long_sequences_are_decoded_alike(monkeypatch):
+    rng = np.random.default_rng(9)
+    crf, lengths = quality_rules.LineCrf(stay=0.5), rng.integers(1, 40, 60)
+    x = rng.integers(0, 2, (lengths.sum(), len(quality_rules.FEATURES))).astype(float)
+    want = crf.decode(x, lengths)
+    monkeypatch.setattr(quality_rules, "_LONG", 7)
+    assert (crf.decode(x, lengths) == want).all()
+
+
 def test_training_raises_the_likelihood_of_its_labels():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 12, 80)
@@ -198,10 +207,48 @@ def test_training_raises_the_likelihood_of_its_labels():
     x = np.zeros((len(y), len(quality_rules.FEATURES)))
     x[:, 0] = 1
     x[:, 10] = rng.random(len(y)) < np.where(y > 0, 0.7, 0.2)  # against the rule's sign
-    crf = quality_rules.LineCrf().fit(x, y, lengths)
+    crf = quality_rules.LineCrf().fit(quality_rules.coded(x), y, lengths)
     assert (crf.decode(x, lengths) == y).mean() > 0.9 > (quality_rules.LineCrf().decode(x, lengths) == y).mean()
 
 
+def log_likelihood(crf, x, y, lengths):
+    """Of labels ``y``, by summing over all label sequences of each text."""
+    total, at = 0.0, 0
+    for n in lengths:
+        e = x[at : at + n] @ crf.weights
+        score = lambda s: sum(e[i] * s[i] for i in range(n)) + crf.stay * sum(s[i] == s[i - 1] for i in range(1, n))  # noqa: B023, E731
+        every = [score([k >> i & 1 for i in range(n)]) for k in range(1 << n)]
+        total += score(y[at : at + n]) - np.logaddexp.reduce(every)
+        at += n
+    return total
+
+
+def test_fit_climbs_the_likelihood_of_all_sequences():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 7, 40)
+    x = rng.integers(0, 2, (lengths.sum(), len(quality_rules.FEATURES))).astype(float)
+    y = (rng.random(lengths.sum()) < 0.2 + 0.6 * x[:, 3]).astype(float)
+    crf = quality_rules.LineCrf().fit(quality_rules.coded(x), y, lengths, rounds=400, rate=0.05, pull=0)
+    best = log_likelihood(crf, x, y, lengths)
+    assert best > log_likelihood(quality_rules.LineCrf(), x, y, lengths)
+    for k in range(len(crf.weights) + 1):  # no step to either side leads higher
+        for step in (-0.05, 0.05):
+            other = quality_rules.LineCrf(crf.weights.copy(), crf.stay)
+            if k < len(crf.weights):
+                other.weights[k] += step
+            else:
+                other.stay += step
+            assert log_likelihood(other, x, y, lengths) < best + 0.02
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"some words of line {i} and more\n" * 1000) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    crf = quality_rules.train_lines(docs, labels, lines=5000)
+    assert np.isfinite(crf.weights).all()
+    assert quality_rules.train_lines(docs, labels, lines=1).stay == quality_rules.STAY  # one document alone
+
+
 def test_rules_tell_labelled_documents_apart(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_rules.apply_rules(docs, quality_rules.train_lines(docs, labels)).join(labels, "doc_id").where("not base_failed").toPandas()
