@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import free_name, stored
+from .runtime import free_name, stored, tidy
 from .words import LETTERED, Texts, Words, pieces, runs_to_mask, row_sums, span_hashes, windows, words
 
 WINDOW = 10
@@ -112,6 +112,7 @@ def _sets(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_b
     return n, (WindowSet([(r.item, r.text) for r in part.collect()], window) for part in parts)
 
 
+@tidy
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = 16 << 20) -> DataFrame:
     """``id_col, n_words, n_hit, items, spans`` of each row of ``docs``.
 
@@ -160,6 +161,7 @@ def _union(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
+@tidy
 def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, drop_share: float = 0.5, max_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with the same columns, without what they share with the benchmark (see ``find_overlaps``).
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import stored
+from .runtime import stored, tidy
 from .words import slices
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.DOTALL)
@@ -328,6 +328,7 @@ def _read(page: str, least: int) -> tuple[Page, bool]:
 HEAVY = 100_000
 
 
+@tidy
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", heavy: int = HEAVY) -> DataFrame:
     """``id_col, url_col, text, n_chars`` of each row of ``pages``: the article's blocks, joined by an empty line.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import stored, tidy
 from .words import LETTERED, Texts, mix, pieces, span_hashes, words
 
 U64 = np.uint64
@@ -141,6 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
 FEATURE_BYTES = 256 << 20
 
 
+@tidy
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None, rows: int = 12_000, bits: int = 18, epochs: int = 3, feature_bytes: int = FEATURE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, int]:
     """The model from a sample of at most ``rows`` labelled documents, with about ``feature_bytes`` of features at most. Executors make features, one task
     runs the updates over those of the sample in order of ids, and the driver gets the weights.

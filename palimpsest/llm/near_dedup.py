@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .runtime import marked, stored
+from .runtime import marked, stored, tidy
 from .words import SPACED, Texts, pieces, span_hashes, windows, words
 
 SHINGLE = 5
@@ -198,6 +198,7 @@ def similar_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
     return rows.mapInArrow(verify, "a long, b long").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` of each row of ``docs``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import stored
+from .runtime import stored, tidy
 from .words import slices
 
 END_ID = 1
@@ -216,6 +216,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, window: int = 2048, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens: ``id_col, start, length,
     ids_crc32, doc_tokens, sequence_id, offset``.

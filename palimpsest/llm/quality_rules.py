@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import labelled_sample
+from .runtime import tidy
 from .words import SPACED, Texts, Words, pieces, row_sums, runs_to_mask, span_hashes, windows, words
 
 REPEAT = 8
@@ -258,6 +259,7 @@ def coded(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.uint16) << np.arange(len(FEATURES), dtype=np.uint16)).sum(axis=1, dtype=np.uint16)
 
 
+@tidy
 def train_lines(docs: DataFrame, labels: DataFrame | None, label: str = "quality", rows: int = 4_000, lines: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> LineCrf:
     """The CRF from at most ``rows`` labelled documents with at most ``lines`` lines together (of the first, all): all lines of one of low quality count as
     boilerplate, those of others as content; a document of over 500 lines is several sequences. The driver gets two bytes for each line of the sample. Without

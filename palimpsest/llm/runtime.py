@@ -4,28 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+#: Folders made so far by the operators that now run, the innermost last.
+_made: ContextVar[list[list[str]]] = ContextVar("made", default=[])
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine)
-    a local temporary folder takes its place, and is set for the rest of the session.
+    Where that is unset, a session on one machine (tests) gets a temporary folder, for the rest of the session; on a
+    cluster, whose executors would not see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made.get():
+        _made.get()[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +51,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., T]) -> Callable[..., T]:
+    """``operator``, which deletes the scratch folders of its run but for those that its result still reads (none where that is no
+    table). What it leaves behind belongs to the operator that called it, if that is tidy too."""
+
+    @wraps(operator)
+    def run(*args, **more) -> T:
+        mine: list[str] = []
+        token, out = _made.set([*_made.get(), mine]), None
+        try:
+            out = operator(*args, **more)
+            return out
+        finally:
+            _made.reset(token)
+            read = [f.partition("/part-")[0] for f in out.inputFiles()] if isinstance(out, DataFrame) else []
+            kept = {path for path in mine if any(uuid_of(path) in f for f in set(read))}
+            for path in set(mine) - kept:
+                delete(path)
+            if _made.get():
+                _made.get()[-1].extend(kept)
+
+    return run
+
+
+def uuid_of(path: str) -> str:
+    return path.rpartition("-")[2]
+
+
+def delete(path: str) -> None:
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        place = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

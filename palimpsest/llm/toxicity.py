@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import labelled_sample
+from .runtime import tidy
 from .words import LETTERED, Texts, pieces, span_hashes, words
 
 
@@ -215,6 +216,7 @@ def choose_terms(sample: DataFrame, min_df: int, strength: float, columns: tuple
     return of.where(ratio >= strength * float(np.log(max(2, total)))).select("term", "df")
 
 
+@tidy
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, rows: int = 12_000, text_bytes: int = 256 << 20, min_df: int = 5, strength: float = 2.3, id_col: str = "doc_id", text_col: str = "text", **settings) -> NearestExamples:
     """The index over a sample of at most ``rows`` labelled documents (those with the smallest hash of the
     id), with ``text_bytes`` of text at most. Executors choose the vocabulary (see ``choose_terms``), all terms that pass, and count them; the driver

@@ -1,4 +1,4 @@
-"""WARC archives: one Zstandard frame per record, with a dictionary of archived records in front."""
+"""WARC archives: one Zstandard frame per record, and in front a dictionary built from the archive's records."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .runtime import scratch, stored
 from .words import slices
@@ -43,20 +42,39 @@ def record(page: str, url: str, payload: bytes, digest: str, refers_to: str | No
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def train_dictionary(records: list[bytes], size: int) -> bytes:
+    """A dictionary of all of ``records``, of ``size`` bytes at most and a fiftieth of theirs. None where there are
+    under 8 of them, or too little or too uniform data."""
+    size = min(size, sum(map(len, records)) // 50)
+    if len(records) < 8 or size < 256:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, records, k=1024 if size > 4096 else 64, d=8, f=20, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 class Archive:
-    """Bytes of one archive: the dictionary in a skippable frame, then a frame for each record."""
+    """Records of one archive. It is spelled when it is full: a dictionary of all its records in a skippable frame, then
+    a frame for each record."""
 
-    def __init__(self, dictionary: bytes, level: int):
-        self.parts = [struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary] if dictionary else []
-        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.compress = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True, write_content_size=True).compress
-        self.size = sum(map(len, self.parts))
-        self.records = 0
+    def __init__(self, dictionary_bytes: int, level: int):
+        self.dictionary_bytes, self.level = dictionary_bytes, level
+        self.records: list[bytes] = []
+        self.size = 0
 
     def add(self, data: bytes) -> None:
-        self.parts.append(self.compress(data))
-        self.size += len(self.parts[-1])
-        self.records += 1
+        self.records.append(data)
+        self.size += len(data)
+
+    def parts(self) -> Iterator[bytes]:
+        dictionary = train_dictionary(self.records, self.dictionary_bytes)
+        if dictionary:
+            yield struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        compressor = zstandard.ZstdCompressor(level=self.level, dict_data=known, write_checksum=True, write_content_size=True)
+        for data in self.records:
+            yield compressor.compress(data)
 
 
 def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -91,22 +109,6 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, rest[:n]
 
 
-def train_dictionary(pages: DataFrame, size: int = 64 << 10, samples: int = 1_000, sample_bytes: int = 16 << 10, html_col: str = "html") -> bytes:
-    """A dictionary of at most ``size`` bytes from ``samples`` records (those with the smallest hash of the
-    row), of which training sees ``sample_bytes`` each. Without enough to train on: none."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    plain = [f.name for f in pages.schema.fields if isinstance(f.dataType, (T.StringType, T.IntegralType))]
-    rows = pages.select(F.substring(payload, 1, sample_bytes).alias("payload"), F.pmod(F.xxhash64(*plain), F.lit(1 << 31)).alias("h"))
-    # tasks send rows with a hash up to twice as large as the sample takes, not a whole sample each
-    bound = min(1 << 31, -(-2 * samples * (1 << 31) // max(1, pages.count())))
-    chosen = rows.where(F.col("h") < bound).where("length(payload) > 0").orderBy("h").limit(samples)
-    found = [record(str(i), "", bytes(r.payload), "", None, "") for i, r in enumerate(chosen.select("payload").collect())]
-    try:
-        return zstandard.train_dictionary(size, found).as_bytes() if len(found) >= 8 else b""
-    except zstandard.ZstdError:  # too little or too uniform data
-        return b""
-
-
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -116,16 +118,17 @@ def _header(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def write_archives(pages: DataFrame, to: str, dictionary: bytes = b"", level: int = 3, roll_bytes: int = 64 << 20, revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, to: str, dictionary_bytes: int = 64 << 10, level: int = 3, roll_bytes: int = 32 << 20, revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for each row of ``pages`` to archives under ``to`` (a folder that executors share)
     and return ``path, records, bytes`` of each archive.
 
     Of records with equal payloads of at least ``revisit_bytes`` bytes, that with the smallest id is the
     response and the others revisit it (also repeated rows of that id: equal id and payload are one
     response for each row); smaller ones are all responses. Null html is an empty payload; a null url an
-    empty target; a null id is never referred to while its payload has another. An archive starts anew
-    beyond ``roll_bytes``. A task writes under a name of its own attempt, so that one that is run again
-    leaves whole archives; only those returned count.
+    empty target; a null id is never referred to while its payload has another. An archive is full at
+    ``roll_bytes`` of records, which its task holds until then: its dictionary, of ``dictionary_bytes`` at most, is built from all of them. A very long
+    page is one record like others; an empty table gives no archive. A task writes under a name of its own attempt, so that one that is run again
+    leaves whole archives; only those returned count. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
@@ -134,21 +137,21 @@ def write_archives(pages: DataFrame, to: str, dictionary: bytes = b"", level: in
     # revisits alone: few columns, each (id, payload) once, so that no payload is gathered in one task
     revisits = keys.where("large").join(first, "sha").where("not id <=> first").select("id", "sha", "first").distinct()
     rows = rows.join(revisits.withColumnsRenamed({"id": "id_", "sha": "sha_"}), F.expr("id <=> id_ and sha = sha_"), "left")
-    shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, folder = _file_system(to)
         store.create_dir(folder, recursive=True)
         done: list[tuple[str, int, int]] = []
-        archive = Archive(shared.value, level)
+        archive = Archive(dictionary_bytes, level)
 
         def close() -> None:
-            name = f"{task.partitionId():06d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
+            size, name = 0, f"{task.partitionId():06d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
             with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                for part in archive.parts:
+                for part in archive.parts():
                     out.write(part)
-            done.append((f"{to}/{name}", archive.records, archive.size))
+                    size += len(part)
+            done.append((f"{to}/{name}", len(archive.records), size))
 
         for batch in (part for whole in batches for part in slices(whole)):
             for page, url, html, sha, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "html", "sha", "first"))):
@@ -156,7 +159,7 @@ def write_archives(pages: DataFrame, to: str, dictionary: bytes = b"", level: in
                 archive.add(record("null" if page is None else str(page), _header(url), html.encode(), digest, None if refers is None else str(refers), date))
                 if archive.size >= roll_bytes:
                     close()
-                    archive = Archive(shared.value, level)
+                    archive = Archive(dictionary_bytes, level)
         if archive.records:
             close()
         columns = [list(c) for c in zip(*done)] or [[], [], []]
@@ -209,7 +212,7 @@ def archive_round_trip(pages: DataFrame, to: str | None = None, id_col: str = "p
     """Archive all of ``pages``, read the archives back, and return ``id_col, payload_bytes,
     payload_digest, record_type, refers_to`` of each record."""
     spark = pages.sparkSession
-    archives = write_archives(pages, to or scratch(spark, "warc"), train_dictionary(pages), id_col=id_col, **options)
+    archives = write_archives(pages, to or scratch(spark, "warc"), id_col=id_col, **options)
     kind = pages.schema[id_col].dataType.simpleString()
     out = read_archives(spark, archives)
     return out.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

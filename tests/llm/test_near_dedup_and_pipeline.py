@@ -1,12 +1,13 @@
 """Near-dedup against brute force; the pipeline stage by stage."""
 
 import itertools
+import os
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import near_dedup
+from palimpsest.llm import near_dedup, runtime
 from palimpsest.llm.graph import components
 
 
@@ -76,6 +77,18 @@ def test_components_are_those_of_all_pairs(spark, corpus):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], len(shingles(corpus[r.doc_id][1])), want[r.doc_id] == r.doc_id)
 
 
+def test_scratch_goes_but_for_what_is_read(spark, corpus):
+    shared = runtime.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = near_dedup.near_duplicates(spark.createDataFrame(corpus[:40], "doc_id long, text string"))
+    left = {n.rpartition("-")[0] for n in set(os.listdir(shared)) - before}
+    assert left <= {"sketches", "classes", "components"} and out.count() == 40
+    before = set(os.listdir(shared))
+    with pytest.raises(Exception):  # noqa: B017
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "x")], "doc_id long, text string").selectExpr("raise_error('no') as doc_id", "text"))
+    assert set(os.listdir(shared)) == before
+
+
 def test_one_id_with_several_texts(spark):
     rows = [(5, "a b c d e f g h"), (5, "k l m n o p q r"), (2, "k l m n o p q r"), (9, "a b c d e f g h"), (7, "else")]
     got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
