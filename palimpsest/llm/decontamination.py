@@ -168,7 +168,8 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     Hit words go, with what stands between them, until nothing is hit; a document goes as a whole where
     more than ``drop_share`` of its words are hit at first (0: any hit). ``chars_col``, where ``docs`` has
     it, is set to the length of a changed text. Documents without a hit stay as they are, null and empty
-    texts too. A benchmark of several slices (see ``max_bytes``) gives the same: hits of all slices are
+    texts too. Very long texts are scanned whole; overlapping hits count once; a share that equals ``drop_share`` stays; repeated rows are each treated; an empty
+    table gives no rows, an empty benchmark all. Other columns pass, whatever their names. A benchmark of several slices (see ``max_bytes``) gives the same: hits of all slices are
     gathered over one text before it is cut.
     """
     names = docs.columns

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import stored, tidy
+from .runtime import marked, stored, tidy
 from .words import slices
 
 END_ID = 1
@@ -223,7 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
 
     A document is its ids and ``end_id``. Each full window of it is a sequence; what is left over is one
     piece, joined with others by combinations of lengths (see ``Plan``); only pieces that no combination
-    takes are cut. Null and empty texts are ``end_id`` alone; repeated rows are packed each; other columns
+    takes are cut. Null and empty texts are ``end_id`` alone; very long ones are encoded whole; pieces of one length are dealt in order of
+    their tasks and rows; repeated rows are packed each; an empty table gives no rows; other columns
     are not read. ``tokenizer`` is the path of a ``tokenizers`` file on every executor; ``ranks`` and
     ``pattern`` give the same vocabulary to the faster encoder.
 
@@ -266,7 +267,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     shared = docs.sparkSession.sparkContext.broadcast(Plan(histogram, window, totals.get(0, 0)))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     chunked = before.where("length = 0").select("bucket", F.col("before").alias("chunks_before"))
-    slim = coded.drop("ids").join(before.where("length > 0"), ["bucket", "length"], "left").join(chunked, "bucket")
+    # grows with the tasks, so it is never broadcast
+    ranks = before.join(chunked.hint("merge"), "bucket")
+    slim = coded.drop("ids").join(ranks.hint("merge"), ["bucket", "length"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
@@ -297,7 +300,10 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                 got.append(_crc(values[s : s + n]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "start", "length")), pa.array(got, pa.int64()), *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    cut = pieces.where("ids_crc32 is null").drop("ids_crc32").join(coded.select("key", F.col("length").alias("tail"), "ids"), "key")
+    cut = pieces.where("ids_crc32 is null").drop("ids_crc32")
+    # ids are shuffled of the pieces that were cut alone, and some more
+    wanted = marked(coded.select("key", F.col("length").alias("tail"), "ids"), "key", cut.select("key").distinct(), "likely").where("likely").drop("likely")
+    cut = cut.join(wanted, "key")
     cut = cut.mapInArrow(crc_of_cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     out = pieces.where("ids_crc32 is not null").drop("key").unionByName(cut)
     return out.withColumnRenamed("id", id_col)

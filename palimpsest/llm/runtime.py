@@ -74,6 +74,14 @@ def tidy(operator: Callable[..., T]) -> Callable[..., T]:
     return run
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the folders under the shared one that ``df`` reads: it has served."""
+    shared = shared_dir(df.sparkSession)
+    for folder in {f.partition("/part-")[0] for f in df.inputFiles()}:
+        if f"/{folder.rpartition('/')[0].partition(':')[2].strip('/')}".endswith(f"/{shared.partition(':')[2].strip('/') if ':' in shared else shared.strip('/')}"):
+            delete(folder)
+
+
 def uuid_of(path: str) -> str:
     return path.rpartition("-")[2]
 

@@ -278,6 +278,13 @@ def test_both_encoders_agree(spark):
         assert code(r.text).tolist() == code.full.encode(r.text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [1, 4095, 4096, 4097, 9000])
+def test_encoders_agree_on_long_runs(n):
+    code = packing.encoder(*TOKENIZER)
+    for text in ("z" * n, "ab" * (n // 2) + " tail", "é" * n, "日本" * (n // 2), "1" * n + " x", " " * n + "x", "a\u0301" * (n // 2), "\n" * n, "!?" * (n // 2)):
+        assert code(text).tolist() == code.full.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("shape", ["even", "long", "one length", "few", "none"])
 def test_plans_place_all_tokens(shape):
     rng = np.random.default_rng(2)

@@ -201,6 +201,24 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None", "None"]
 
 
+def test_near_dedup_stage_takes_any_columns(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words of the same id"), (2, "a b c d e f g"), (3, ""), (3, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ["(1, 'a b c d e f g')", "(1, 'other words of the same id')", "(3, '')", "(None, None)"]
+    assert sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == want
+    mapped = docs.selectExpr("*", "map('k', text) as more", "array(map(1, 2)) as less")
+    out = corpus_pipeline.near_dedup_stage(spark, mapped, "")
+    assert out.columns == mapped.columns and sorted(str((r.doc_id, r.text)) for r in out.collect()) == want
+
+
+def test_pipeline_leaves_no_scratch_but_what_its_result_reads(spark):
+    shared = runtime.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {n.rpartition("-")[0] for n in set(os.listdir(shared)) - before}
+    assert out.count() > 0 and left <= {"pieces", "coded", "decontamination"}
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_documents(spark, stage):
     sf = "/root/testdata/sf0.001"

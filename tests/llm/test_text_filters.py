@@ -72,6 +72,12 @@ def test_urls(spark):
         urls.filter_urls(pages, registered.URL_RULES, max_rule_bytes=3)
 
 
+def test_very_long_urls(spark):
+    urls_ = ["http://" + "a." * 100_000 + "net/es/x", "http://x.net/es/" + "/y" * 200_000, "://" * 100_000, "x" * 500_000, "http://" + "b" * 300_000 + ".com/"]
+    out = urls.filter_urls(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string"), registered.URL_RULES).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict, len(r.host), len(r.path)) for r in out] == [("net/es/", "block", 200_003, 5), ("net/es/", "block", 5, 400_004), (None, "allow", 1, 299_996), (None, "allow", 0, 0), ("com/", "allow", 300_004, 1)]
+
+
 def test_trie_agrees_with_trying_all_rules():
     rng = np.random.default_rng(1)
     labels, segments = ["a", "b", "com"], ["/", "/x", "/x/", "/x/y", "/xy/", "/x/y/z/"]
@@ -152,6 +158,42 @@ def test_removal_by_slices_is_that_by_one(spark, drop_share):
     assert decontamination.find_overlaps(got, bench).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+def plain_removal(text, items, drop_share, window=10):
+    """Hit words cut out, again and again, by sets of tuples of words; None where the document goes."""
+    first = True
+    while True:
+        at = [(m.start(), m.end()) for m in LETTERS.finditer(text.translate(LOWER))]
+        ((_, hit, _),) = overlaps([text], items, window)
+        grams = {tuple(w[k : k + min(window, len(w))]) for _, t in items for w in [LETTERS.findall(t.translate(LOWER))] for k in range(max(1, len(w) - window + 1) if w else 0)}
+        w = LETTERS.findall(text.translate(LOWER))
+        hits = sorted({j for size in {len(g) for g in grams} for k in range(len(w) - size + 1) if tuple(w[k : k + size]) in grams for j in range(k, k + size)})
+        assert len(hits) == hit
+        if not hits:
+            return text
+        if first and hit > drop_share * len(w):
+            return None
+        first, cut = False, list(text)
+        for j in hits:
+            end = at[j + 1][0] if j + 1 in hits else at[j][1]
+            cut[at[j][0] : end] = [""] * (end - at[j][0])
+        text = "".join(cut)
+
+
+@pytest.mark.parametrize("max_bytes, slices", [(1 << 20, 1), (60, 3), (11, 16)])
+def test_removal_agrees_with_brute_force_whatever_the_slices(spark, max_bytes, slices):
+    rng = np.random.default_rng(12)
+    a, b, own = ([f"{x}{i}" for i in range(20)] for x in "abo")
+    texts = [" ".join([*a[:10], *own[:15], *b[:10]]), " ".join([*a[:10], *own, *own, *b[:10]]), " ".join([*a[:5], *b[:10], *a[5:10], *own, *own])]
+    texts += [", ".join(rng.choice([" ".join(a[i : i + 12]), " ".join(b[i : i + 9]), " ".join(own), " ".join(own[:3])]) for i in rng.integers(0, 9, 9)) for _ in range(40)]
+    items = [(1, " ".join(a[:10])), (2, " ".join(b[:10])), (3, " ".join(a[3:20])), (4, " ".join(b[5:18])), (5, "a1 b1")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination._sets(bench, "item_id", "text", 10, max_bytes)[0] == slices
+    got = {r.doc_id: r.text for r in decontamination.remove_overlaps(docs, bench, max_bytes=max_bytes).collect()}
+    want = {i: plain_removal(t, items, 0.5) for i, t in enumerate(texts)}
+    assert got == {i: t for i, t in want.items() if t is not None} and 0 not in got and 1 in got
+
+
 # Quality rules
 
 
