@@ -15,6 +15,11 @@ from .functions.lists import get_config_value, is_array, list_difference, list_i
 PROJECT_ONLY = ("update_all_previous_records", "collapse_redundant_versions", "default_valid_to", "default_valid_from", "exclude_data_after_run_start")
 
 
+# Beginnings of messages that callers match on.
+WRONG_TYPE = "scd_type must be 0, 1 or 2 for the scd materialization"
+NO_DELETIONS = "deletion tracking is not supported for SCD types 0 and 1"
+
+
 class ConfigError(ValueError):
     """A setting is missing, contradictory or does not fit the data."""
 
@@ -58,15 +63,15 @@ class ScdConfig:
 
     def __post_init__(self) -> None:
         if isinstance(self.scd_type, bool) or str(self.scd_type) not in ("0", "1", "2"):
-            raise ConfigError(f"scd_type must be 0, 1 or 2 for the scd materialization, got: {self.scd_type}")
+            raise ConfigError(f"{WRONG_TYPE}, got: {self.scd_type}")
         object.__setattr__(self, "scd_type", int(self.scd_type))
         if self.unique_key is None or (is_array(self.unique_key) and not list(self.unique_key)):
-            raise ConfigError("You must provide a unique_key configuration for the scd materialization.")
+            raise ConfigError("unique_key is missing or empty: name the columns of the business key")
         if not is_array(self.unique_key):
-            raise ConfigError("The unique_key configuration must be an array of column names.")
+            raise ConfigError(f"unique_key takes a list of column names, got: {self.unique_key!r}")
         object.__setattr__(self, "unique_key", list(self.unique_key))
         if self.deleted_at_column and self.scd_type != 2:
-            raise ConfigError(f"deleted_at_column is configured, but deletion tracking is not supported for SCD types 0 and 1 (got type {self.scd_type})")
+            raise ConfigError(f"deleted_at_column is set, but {NO_DELETIONS} (got type {self.scd_type})")
         if self.audit_timestamp not in ("match_source", "timestamp"):
             raise ConfigError(f"audit_timestamp must be match_source or timestamp, got: {self.audit_timestamp}")
         if self.scd_type == 2 and not self.update_all_previous_records:
@@ -100,10 +105,10 @@ class ScdConfig:
         have = {n.upper() for n in schema.names}
         for name, column in (("created_at_column", self.created_at_column), ("deleted_at_column", self.deleted_at_column)):
             if column and column.upper() not in have:
-                raise ConfigError(f"{name} '{column}' is configured but is not a column produced by this model. Available columns: {', '.join(schema.names)}")
+                raise ConfigError(f"{name} names '{column}', which the rows lack. They have: {', '.join(schema.names)}")
         for column in [*self.unique_key, self.updated_at_column]:
             if column.upper() not in have:
-                raise ConfigError(f"column '{column}' is not produced by this model. Available columns: {', '.join(schema.names)}")
+                raise ConfigError(f"the rows lack column '{column}'. They have: {', '.join(schema.names)}")
         if self.scd_type == 2 and isinstance(next(f.dataType for f in schema.fields if f.name.upper() == self.updated_at_column.upper()), T.DateType):
             warnings.warn(f"{self.updated_at_column} is a DATE: a TIMESTAMP is recommended, or changes within a day are one version", stacklevel=3)
 

@@ -36,13 +36,21 @@ def some_current_per_key(df: DataFrame, keys: Sequence[str], current: str = IS_C
 
 def no_validity_overlaps(df: DataFrame, keys: Sequence[str], valid_from: str = VALID_FROM, valid_to: str = VALID_TO) -> DataFrame:
     """Pairs of rows of a key that are valid at the same time, each from both sides. Null keys, and rows
-    that begin together, are not compared."""
-    a = df.select(*keys, F.col(valid_from).alias("valid_from_1"), F.col(valid_to).alias("valid_to_1"))
-    b = df.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(valid_from).alias("valid_from_2"), F.col(valid_to).alias("valid_to_2"))
-    on = (F.col("valid_from_1") < F.col("valid_to_2")) & (F.col("valid_from_2") < F.col("valid_to_1")) & (F.col("valid_from_1") != F.col("valid_from_2"))
+    that begin together, are not compared.
+
+    One pass over each key finds its islands: runs of rows of which each begins before an earlier one ends. Only rows of an island can overlap, so a sound
+    history gives no pairs to compare, however long it is."""
+    by_time = Window.partitionBy(*keys).orderBy(F.col(valid_from).asc_nulls_last(), F.col(valid_to).asc_nulls_last())
+    end = F.max(valid_to).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.select(*keys, valid_from, valid_to).withColumn("__new", (~F.coalesce(F.col(valid_from) < end, F.lit(False))).cast("long"))
+    rows = rows.withColumn("__island", F.sum("__new").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__size", F.count("*").over(Window.partitionBy(*keys, "__island"))).where("__size > 1")
+    a = rows.select(*keys, "__island", F.col(valid_from).alias("valid_from_1"), F.col(valid_to).alias("valid_to_1"))
+    b = rows.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__island").alias("__other"), F.col(valid_from).alias("valid_from_2"), F.col(valid_to).alias("valid_to_2"))
+    on = (F.col("__island") == F.col("__other")) & (F.col("valid_from_1") < F.col("valid_to_2")) & (F.col("valid_from_2") < F.col("valid_to_1")) & (F.col("valid_from_1") != F.col("valid_from_2"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return a.join(b, on).drop(*(f"__{k}" for k in keys))
+    return a.join(b, on).drop("__island", "__other", *(f"__{k}" for k in keys))
 
 
 def has_validity_overlap(df: DataFrame, keys: Sequence[str], valid_from: str = VALID_FROM, valid_to: str = VALID_TO) -> DataFrame:

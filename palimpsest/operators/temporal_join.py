@@ -15,7 +15,7 @@ VALID_FROM, VALID_TO, IS_CURRENT = "_valid_from", "_valid_to", "_is_current"
 _LEFT_OUT = {VALID_FROM, VALID_TO, IS_CURRENT, "_updated_at", "_change_type"}
 
 
-def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], default_valid_to: str = "2999-12-31 23:59:59", method: str = "range") -> DataFrame:
+def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], default_valid_to: str = "2999-12-31 23:59:59", method: str = "auto") -> DataFrame:
     """The histories in ``relations`` joined on ``join_keys`` and time.
 
     The points at which any of them has a version begin stretches, which end at the next point of the key
@@ -26,8 +26,8 @@ def temporal_join(relations: Sequence[DataFrame], join_keys: Sequence[str], defa
     ``method``: ``range`` joins each relation by key and range, which also covers overlapping versions and
     relations with several rows for a key and time. ``fill`` takes for each stretch the latest version that
     begins no later: no pairs, so that a key with very many versions costs no more than sorting them, for
-    histories without overlaps whose key is ``join_keys``. ``auto`` looks (with a pass over each relation)
-    whether they are such, and takes ``fill`` if so.
+    histories without overlaps whose key is ``join_keys``. ``auto``, the default, looks (with a pass over each relation)
+    whether they are such, and takes ``fill`` if so, else ``range``, whose pairs grow with the square of a key's versions.
     """
     keys = list(join_keys)
     upper = {k.upper() for k in keys}

@@ -235,7 +235,7 @@ def test_entry_points(spark):
 
 def test_queries_match_sql(spark):
     duckdb = pytest.importorskip("duckdb")
-    from palimpsest import queries
+    from palimpsest import queries, table_queries  # noqa: F401
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
