@@ -228,7 +228,7 @@ def test_bad_settings(settings_, message):
 
 def test_bad_columns(spark):
     df = spark.createDataFrame([(1, "a", datetime(2024, 1, 1))], "k int, v string, _updated_at timestamp")
-    for more, message in ((dict(created_at_column="cr"), "which the rows lack"), (dict(change_columns={"include": ["k"]}), "no column is left"), (dict(updated_at_column="u"), "is not produced")):
+    for more, message in ((dict(created_at_column="cr"), "which the rows lack"), (dict(change_columns={"include": ["k"]}), "no column is left"), (dict(updated_at_column="u"), "the rows lack column")):
         with pytest.raises(ConfigError, match=message):
             scd.initial_scd2(df, ScdConfig(**({"unique_key": ["k"]} | more)))
     table = scd.initial_scd2(df, ScdConfig(unique_key=["k"]))
