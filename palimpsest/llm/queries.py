@@ -84,8 +84,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op6`` that SQL can express."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "content_share")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7`` that SQL can express."""
+    return op7_license_scans(spark, sf_dir).drop("labels", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    found = {name: f for name, f in globals().items() if name.startswith("op")}
+    return found | {"quality_counts": quality_counts, "license_phrases": license_phrases}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,5 +159,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f"""
 
 
+_SPACED = "[^\\x20\\x09-\\x0D]"
+_COUNTS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_SPACED}+') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_SPACED}') GROUP BY r)
+SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+       coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed
+FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)"""
+
+_PHRASES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+phrases(phrase, label, size) AS (VALUES {", ".join(str((phrase, label, phrase.count(" ") + 1)) for phrase, label in licenses.PHRASES)}),
+found AS (
+  SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON array_to_string(w[i:i + size - 1], ' ') = phrase),
+o AS (SELECT r, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN o USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op3_url_filters": _OP3, "op4_decontamination": _OP4, "op9_warc": _OP9}
+    return {"quality_counts": _COUNTS, "license_phrases": _PHRASES, "op1_near_dedup": _OP1, "op3_url_filters": _OP3, "op4_decontamination": _OP4, "op9_warc": _OP9}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
@@ -12,27 +11,14 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 T = TypeVar("T")
 
 #: Folders made so far by the operators that now run, the innermost last.
 _made: ContextVar[list[list[str]]] = ContextVar("made", default=[])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a session on one machine (tests) gets a temporary folder, for the rest of the session; on a
-    cluster, whose executors would not see it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

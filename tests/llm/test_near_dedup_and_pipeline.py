@@ -176,14 +176,27 @@ def test_pipeline_stages_one_after_another(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "quality_classifier", "near_dedup", "decontamination", "packing"] and corpus_pipeline.ORACLE_SQL is None
+    from palimpsest.llm import ftrl, quality_rules
     from palimpsest.llm.runtime import stored
+    from test_models_and_packing import check_packing
+    from test_text_filters import plain_removal
 
+    sources = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
+    crf, model = quality_rules.train_lines(*sources), ftrl.train_quality(*sources)
+    items = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stored(stage(spark, docs, sf), name)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-        if name == "near_dedup":
-            want = brute([(r.doc_id, r.text) for r in docs.collect()])
-            assert {r.doc_id for r in out.collect()} == {i for i, c in want.items() if i == c}
+        rows, got = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in out.collect()}
+        if name == "quality_rules":
+            want = {r.doc_id: rows[r.doc_id] for r in quality_rules.apply_rules(docs, crf).where("kept").collect()}
+        elif name == "quality_classifier":
+            want = {r.doc_id: rows[r.doc_id] for r in ftrl.score_quality(docs, model).where("score >= 0.3").collect()}
+        elif name == "near_dedup":
+            want = {i: rows[i] for i, c in brute(list(rows.items())).items() if i == c}
+        else:
+            want = {i: kept for i, t in rows.items() if (kept := plain_removal(t, items, 0.5)) is not None}
+        assert got == want
         docs = out
     left = {r.doc_id for r in docs.collect()}
     pieces = corpus_pipeline.run(spark, sf).collect()
@@ -192,6 +205,7 @@ def test_pipeline_stages_one_after_another(spark):
     for r in pieces:
         by[r.doc_id] = by.get(r.doc_id, 0) + r.length
     assert all(by[r.doc_id] == r.doc_tokens for r in pieces)
+    assert check_packing([(r.doc_id, r.text) for r in docs.collect()], pieces) == 0
 
 
 def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):

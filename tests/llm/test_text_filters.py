@@ -432,6 +432,17 @@ def test_time_grows_with_the_matches(spark, part):
     assert times[-1] < 5 and times[-1] < 1 + 14 * times[0]
 
 
+def test_counts_and_phrases_match_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for name in ("quality_counts", "license_phrases"):
+        got, want = registered.queries()[name](spark, sf), con.execute(registered.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_digest_of_items_is_of_sorted_strings(spark):
     out = {r.doc_id: r for r in registered.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     assert any(r.contaminated for r in out.values())
