@@ -97,7 +97,8 @@ def marked(df: DataFrame, id_col: str, ids: DataFrame, name: str) -> DataFrame:
     column).
 
     A bit table over hashes of the ids, of ``TABLE_LONGS`` longs at most, is broadcast. Where few rows of
-    wide ones are wanted, only these (and some more, the table being full) have to be shuffled afterwards.
+    wide ones are wanted, only these (and some more, the table being full) have to be shuffled afterwards. Of 100
+    million ids and more nearly all bits are set: then every row is marked, and all are shuffled, which costs time but changes nothing.
     """
     of = ids.columns[0]
 

@@ -6,6 +6,7 @@ operations over the buffer. No Python object is made per word, and a text is nev
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+
+def _give_back() -> None:
+    """Arrays beyond some MB, those of Arrow too, come from the system and go back to it when they are freed: a Python worker, which
+    serves one task after another, does not keep the memory of the longest text that it has met."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        of_c = ctypes.CDLL(None)
+        for option, value in ((-3, 4 << 20), (-1, 4 << 20), (-8, 2)):  # of the GNU C library: mapped from this size on, trimmed beyond it, arenas
+            of_c.mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_give_back()
 #: Bytes of text handled at once, so few that the arrays over them stay in the cache; a longer text is a piece
 #: of its own.
 PIECE_BYTES = 1 << 17

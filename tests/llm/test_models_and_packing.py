@@ -125,6 +125,17 @@ def test_fits_take_long_texts(spark):
     assert len(toxicity.learn_toxicity(docs, labels, text_bytes=10 << 20).labels) < 10
 
 
+def test_training_tables_with_clashing_columns(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    odd_docs = docs.selectExpr("*", "1 as h", "2 as id", "'x' as label", "0 as cost", "array(1) as columns", "map(1, 2) as counts")
+    odd_labels = labels.selectExpr("*", "1 as h", "'y' as label", "2 as id").unionByName(spark.createDataFrame([(None, 1, 1, 1, "y", 2), (1, None, None, 1, "y", 2)], "doc_id long, quality long, toxic long, h int, label string, id int").select(*labels.columns, "h", "label", "id"))
+    want, got = ftrl.train_quality(docs, labels, epochs=1), ftrl.train_quality(odd_docs, odd_labels, epochs=1)
+    assert (want[0] == got[0]).all() and want[1] == got[1]
+    want, got = toxicity.learn_toxicity(docs, labels), toxicity.learn_toxicity(odd_docs, odd_labels)
+    assert (want.posting_weight == got.posting_weight).all() and want.ids == got.ids
+    assert (quality_rules.train_lines(docs, labels).weights == quality_rules.train_lines(odd_docs, odd_labels).weights).all()
+
+
 def test_ftrl_keeps_useless_features_at_zero():
     rng = np.random.default_rng(0)
     rows = []
