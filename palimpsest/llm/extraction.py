@@ -38,6 +38,8 @@ MARKS = frozenset(
 )
 #: Parts that may be an article's own too: they mark as the whole or the last part, or before one of ``_FURNITURE``.
 WEAK_MARKS = frozenset("alert aside notice notices notification notifications overlay recommended related search share sharing social toc widget widgets".split())
+#: Words are also written together (``cookiebar``, ``sitefooter``): these begin or end a part that marks.
+_BEGIN, _END = ("adsby", "advert", "breadcrumb", "cookie", "sponsor"), ("footer", "masthead", "menu", "navbar", "sidebar")
 _WHOLE_MARKS = frozenset(["side", "foot"])
 _FURNITURE = frozenset("area bar block box button buttons container form icons items left link links list message msg panel posts right section stories widget wrapper".split())
 _BESIDE = re.compile(r"(?:has|with|no|without|is)[-_]", re.IGNORECASE)
@@ -67,7 +69,7 @@ def mark_of(word: str) -> int:
         return 0
     parts = [p.rstrip("0123456789") for p in _PARTS.split(_CAMEL.sub("-", word.partition("--")[0]).lower().strip("-_"))]
     ends = (parts[0], parts[-1])
-    if any(p in MARKS for p in ends):
+    if any(p in MARKS or p.startswith(_BEGIN) or p.endswith(_END) for p in ends):
         return 2
     weak = parts[-1] in WEAK_MARKS or (len(parts) == 1 and parts[0] in _WHOLE_MARKS) or (parts[0] in WEAK_MARKS and len(parts) > 1 and parts[1] in _FURNITURE)
     return 1 if weak else 0

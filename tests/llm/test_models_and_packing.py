@@ -405,6 +405,7 @@ BODY = "Some words of the article that are long enough to count as text. " * 3
         ('<main><div class="side-by-side"><p>Left</p></div><div class="share-price-report">Up</div></main>', "Left\n\nUp"),
         ('<main><p>Story</p><div class="page-footer">Foot</div><div class="page-sidebar">Side</div><div class="has-sidebar">Kept</div><div id="siteFooter">x</div><div class="ad-300x250">y</div></main>', "Story\n\nKept"),
         ('<body><article><div class="notice">A notice is the story</div></article><div class="ad">Buy</div></body>', "A notice is the story"),
+        ('<article><p>Story</p><p class="cookiebar">No</p><div class="sitefooter">No</div><div id="advertorial1">No</div><div class="page__menu--open">No</div><div class="addendum">Yes</div></article>', "Story\n\nYes"),
         ('<body><article></article><div class="ad">Buy</div><nav>x</nav></body>', ""),
         ('<article><p>Story</p><div class="search-form">Find</div><p class="category-news">More</p><div hidden class="x">No</div><p style="display: none">No</p></article>', "Story\n\nMore"),
         (f'<body><div class="post"><h2>Title</h2>Lead <a href="/x">text</a>.<div class="entry"><p>{BODY * 4}</p></div><a href="/next">Next story</a></div><div class="other">Else</div></body>', f"Title\n\nLead text.\n\n{(BODY * 4).strip()}"),
