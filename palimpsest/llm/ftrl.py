@@ -16,34 +16,17 @@ U64 = np.uint64
 #: Byte classes: 0 white space and controls, 1 letters, digits and all beyond ASCII, 2 punctuation.
 _KINDS = np.where(LETTERED, 1, 2).astype(np.uint8)
 _KINDS[:0x21] = 0
-_UPPER = np.zeros(256, np.int64)
-_UPPER[65:91] = 1
-_LOWER = np.zeros(256, np.int64)
-_LOWER[97:123] = 1
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
 
 
 def features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-gram occurrences in ``texts`` and their bounds by row.
 
-    Words (A-Z lower-cased) and punctuation runs are tokens. Of each token: the unigram, its shape
-    (upper case, capitalised, has digits, other; length class), the bigrams of tokens and of shapes with
-    the next, and whether the token occurs again one or two places on. A text without tokens has one
+    Words (A-Z lower-cased) and punctuation runs are tokens. Of each token: the unigram, the bigram with the next,
+    and the pattern of itself among the next two (whether it occurs there again). A text without tokens has one
     feature of its own.
     """
     found = words(texts, _KINDS)
     h = span_hashes(texts.buf, found.start, found.end, fold=True)
-    size = found.end - found.start
-
-    def inside(table: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(table[texts.buf])])
-        return total[found.end] - total[found.start]
-
-    up, low, digits = inside(_UPPER), inside(_LOWER), inside(_DIGIT)
-    letters = _KINDS[texts.buf[found.start]] == 1 if len(size) else np.zeros(0, bool)
-    shape = np.where(~letters, 1, np.where(digits > 0, 2, np.where((up > 1) & (up >= low), 3, np.where(up > 0, 4, 5))))
-    shape = (shape * 8 + np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), 7)).astype(np.uint64)
     row = found.row
     next_in = np.zeros((2, len(h)), dtype=bool)
     for k in (1, 2):
@@ -53,9 +36,7 @@ def features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         grams = np.stack([
             mix(h + U64(1)),
-            mix(shape + U64(2 << 40)),
             np.where(next_in[0], mix(h * U64(3) + after * U64(5)), U64(3)),
-            np.where(next_in[0], mix(shape * U64(64) + np.roll(shape, -1) + U64(4 << 40)), U64(4)),
             mix(same + U64(5 << 40)),
         ], axis=1)
     empty = np.flatnonzero(found.counts == 0)

@@ -105,12 +105,12 @@ def test_features_are_those_of_equal_tokens():
     (texts,) = pieces(pa.array(["The cat, the CAT -- the end", "", "cat end"]))
     i, first = ftrl.features(texts, 30)
     tokens = ["the", "cat", ",", "the", "cat", "--", "the", "end"]
-    grams = i[first[0] : first[1]].reshape(-1, 5)
+    grams = i[first[0] : first[1]].reshape(-1, 3)
     for a in range(8):
         for b in range(8):
             assert (grams[a, 0] == grams[b, 0]) == (tokens[a] == tokens[b])
-            assert a == 7 or b == 7 or (grams[a, 2] == grams[b, 2]) == (tokens[a : a + 2] == tokens[b : b + 2])
-    assert i[first[1] : first[2]].tolist() == [0] and i[first[2] : first[3]].reshape(-1, 5)[:, 0].tolist() == [grams[1, 0], grams[7, 0]]
+            assert a == 7 or b == 7 or (grams[a, 1] == grams[b, 1]) == (tokens[a : a + 2] == tokens[b : b + 2])
+    assert i[first[1] : first[2]].tolist() == [0] and i[first[2] : first[3]].reshape(-1, 3)[:, 0].tolist() == [grams[1, 0], grams[7, 0]]
 
 
 def test_fits_take_long_texts(spark):
